@@ -30,10 +30,15 @@ def export_energy_type(c: Column, keywords: Sequence[tuple[str, str]] = EXPORT_E
 
 
 def invoice_energy_type(
-    c: Column, keywords: Sequence[tuple[str, Sequence[str]]] = INVOICE_ENERGY_KEYWORDS
+    c: Column,
+    keywords: Sequence[tuple[str, Sequence[str]]] = INVOICE_ENERGY_KEYWORDS,
+    lowered: Column | None = None,
 ) -> Column:
-    """Canonical type of the first keyword list with a hit, else the raw text."""
-    lowered = F.lower(c)
+    """Canonical type of the first keyword list with a hit, else the raw text.
+
+    ``lowered`` may hold the lower-cased text if the caller has it at hand.
+    """
+    lowered = F.lower(c) if lowered is None else lowered
     found = None
     for energy_type, words in keywords:
         hit = F.contains(lowered, F.lit(words[0]))

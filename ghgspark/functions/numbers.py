@@ -9,13 +9,12 @@ from ghgspark.functions.text import strip
 
 GERMAN, ENGLISH = "german", "english"
 
-# try_cast also reads '1d' and 'nan', hence the guard.
-_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+# What try_cast reads but is no finite number: '1d', 'nan', 'inf', three-digit exponents.
+_NOT_A_NUMBER = r"[A-DF-Za-df-z]|[eE]\+?\d{3}|\d{300}"
 
 
 def _guarded(c: Column) -> Column:
-    value = F.when(c.rlike(_NUMBER), c.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    return F.when(~c.rlike(_NOT_A_NUMBER), c.try_cast("double"))
 
 
 def clean_number(c: Column) -> Column:

@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Unicode classes, case-insensitive, and "." stopping only at a line feed.
-FIELD_FLAGS = "(?iUd)"
+_ASCII_SPACE = " \t\n\r\x0b\x0c"
+_OTHER_SPACE = (
+    "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
     """Trim all Unicode white space (``trim`` removes only U+0020)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_ASCII_SPACE + _OTHER_SPACE))
+
+
+def has_wide_space(c: Column) -> Column:
+    """True where the text holds white space that a plain ``\\s`` does not match."""
+
+    def any_of(characters: str) -> Column:
+        return reduce(or_, [F.contains(c, F.lit(space)) for space in characters])
+
+    # Plain byte searches, and for ASCII text only the four control characters.
+    return any_of(_OTHER_SPACE[:4]) | ((F.octet_length(c) != F.char_length(c)) & any_of(_OTHER_SPACE[4:]))
+
+
+def field_pattern(pattern: str, wide: bool = False) -> str:
+    """A label pattern for Java's engine: any case, "." stopping only at a line feed.
+
+    Unicode classes slow the search down several times, so they are asked for (``wide``) only
+    in texts that have unusual white space.
+    """
+    if wide:
+        return "(?iUd)" + pattern
+    return "(?id)" + pattern.replace(r"\w", r"[\p{L}\p{N}_]").replace("[äa]", "[äÄa]")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -29,20 +56,64 @@ def fold_umlauts(c: Column, accents: bool = False) -> Column:
 
 def header_key(c: Column) -> Column:
     """A header cell reduced to its comparable form."""
-    bare = F.regexp_replace(strip(c), "^﻿+|﻿+$", "")
+    bare = F.btrim(strip(c), F.lit("\ufeff"))
     return fold_umlauts(F.lower(bare), accents=True)
 
 
-def first_group(text: Column, patterns: Iterable[str], group: int = 1) -> Column:
-    """Captured group of the first pattern that matches, trimmed; null when none does."""
-    found = [blank_to_null(F.regexp_extract(text, FIELD_FLAGS + p, group)) for p in patterns]
-    return strip(F.coalesce(*found))
+def required_words(pattern: str) -> list[str]:
+    """Plain words every match of a label pattern contains; none where that is not certain."""
+    label = pattern.split("(")[0]
+    if "|" in label:
+        return []
+    bare = re.sub(r"\[[^\]]*\][*+?]?|\\.[*+?]?", " ", label)
+    return [word.lower() for word in re.findall(r"[A-Za-z]+(?=[^A-Za-z?*{]|$)", bare)]
+
+
+def first_groups(
+    frame: DataFrame,
+    text: str,
+    fields: dict[str, tuple[Sequence[str], int]],
+    low: str,
+    wide: str,
+    where: Column | None = None,
+) -> DataFrame:
+    """Add one column per field: the group of the first of its patterns that matches, trimmed.
+
+    ``fields`` maps a name to (patterns in order, group). Null where nothing matches or where
+    ``where`` is false. The n-th patterns are tried in the n-th projection and only where the
+    earlier ones failed, so no pattern runs twice on a text; a text without the pattern's plain
+    words (a byte search in the lower-cased column ``low``) is not searched at all. ``wide``
+    names a column telling the texts with unusual white space.
+    """
+
+    def found(pattern: str, group: int) -> Column:
+        words = [F.contains(low, F.lit(word)) for word in required_words(pattern)]
+        return (
+            F.when(F.col(wide), F.regexp_extract(text, field_pattern(pattern, True), group))
+            .when(reduce(and_, words, F.lit(True)), F.regexp_extract(text, field_pattern(pattern), group))
+            .otherwise("")
+        )
+
+    for n in range(max(len(patterns) for patterns, _ in fields.values())):
+        step = {}
+        for name, (patterns, group) in fields.items():
+            if n >= len(patterns):
+                continue
+            hit = found(patterns[n], group)
+            if n:
+                step[name] = F.when(F.col(name) == "", hit).otherwise(F.col(name))
+            else:
+                step[name] = hit if where is None else F.when(where, hit)
+        frame = frame.withColumns(step)
+    return frame.withColumns({
+        name: F.when(F.col(name) != "", strip(F.col(name))) for name in fields
+    })
 
 
 def first_line(text: Column) -> Column:
     """The first line holding anything but white space, trimmed."""
     in_line = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-    return blank_to_null(F.regexp_extract(text, rf"(?U)^\s*(\S(?:{in_line}*\S)?)", 1))
+    return strip(F.regexp_substr(strip(text), F.lit(f"^{in_line}+")))
 
 
 def german_date_to_iso(c: Column) -> Column:

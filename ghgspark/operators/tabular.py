@@ -47,12 +47,10 @@ def numbered_rows(lines: DataFrame, blocks: DataFrame, files: DataFrame) -> Data
         .where(is_row)
         .withColumn("row_number", F.col("rows_before") + in_block - F.col("has_header").cast("int"))
         .where(F.col("row_number") > 0)
-        .withColumn(
-            "cells",
-            profile.split_cells(profile.decode_line(F.col("value"), F.col("encoding")), F.col("delimiter")),
-        )
+        .withColumn("text", profile.decode_line(F.col("value"), F.col("encoding")))
+        .withColumn("cells", profile.split_cells(F.col("text"), F.col("delimiter")))
         .withColumn("is_short", F.size("cells") < F.coalesce(F.col("min_cells"), F.lit(0)))
-        .drop("value", "rows_before")
+        .drop("value", "text", "rows_before")
     )
 
 

@@ -5,7 +5,7 @@ from ghgspark.functions.numbers import clean_number, exact, locale_number, numbe
 from ghgspark.functions.periods import month_number, month_span, normalize_period
 from ghgspark.functions.text import (
     blank_to_null,
-    first_groups,
+    first_group,
     first_line,
     fixed_text,
     float_text,
@@ -19,7 +19,7 @@ from ghgspark.functions.text import (
 )
 
 __all__ = [
-    "blank_to_null", "clean_number", "exact", "export_energy_type", "first_groups", "first_line",
+    "blank_to_null", "clean_number", "exact", "export_energy_type", "first_group", "first_line",
     "fixed_text", "float_text", "fold_umlauts", "german_date_to_iso", "has_wide_space", "header_key",
     "invoice_energy_type", "locale_number", "month_number", "month_span", "normalize_period",
     "number_format_of", "number_or_default", "or_default", "strip", "to_base_unit", "to_double",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ASCII_SPACE = " \t\n\r\x0b\x0c"
@@ -69,45 +69,25 @@ def required_words(pattern: str) -> list[str]:
     return [word.lower() for word in re.findall(r"[A-Za-z]+(?=[^A-Za-z?*{]|$)", bare)]
 
 
-def first_groups(
-    frame: DataFrame,
-    text: str,
-    fields: dict[str, tuple[Sequence[str], int]],
-    low: str,
-    wide: str,
-    where: Column | None = None,
-) -> DataFrame:
-    """Add one column per field: the group of the first of its patterns that matches, trimmed.
-
-    ``fields`` maps a name to (patterns in order, group). Null where nothing matches or where
-    ``where`` is false. The n-th patterns are tried in the n-th projection and only where the
-    earlier ones failed, so no pattern runs twice on a text; a text without the pattern's plain
-    words (a byte search in the lower-cased column ``low``) is not searched at all. ``wide``
-    names a column telling the texts with unusual white space.
+def first_group(text: Column, patterns: Sequence[str], low: Column, wide: Column, group: int = 1) -> Column:
+    """Group of the first pattern that matches, trimmed; null when none does.
+
+    ``low`` is the lower-cased text and ``wide`` tells whether it has unusual white space. A
+    text without a pattern's plain words (a byte search) is not searched for that pattern. The
+    match is made to swallow the rest of the text, so there is one match to take at most, and
+    a miss is null without naming the search twice.
     """
 
-    def found(pattern: str, group: int) -> Column:
+    def found(pattern: str) -> Column:
+        def search(regex: str) -> Column:
+            return F.get(F.regexp_extract_all(text, F.lit(regex + "(?s:.*)"), F.lit(group)), 0)
+
         words = [F.contains(low, F.lit(word)) for word in required_words(pattern)]
-        return (
-            F.when(F.col(wide), F.regexp_extract(text, field_pattern(pattern, True), group))
-            .when(reduce(and_, words, F.lit(True)), F.regexp_extract(text, field_pattern(pattern), group))
-            .otherwise("")
+        return F.when(wide, search(field_pattern(pattern, True))).when(
+            reduce(and_, words, F.lit(True)), search(field_pattern(pattern))
         )
 
-    for n in range(max(len(patterns) for patterns, _ in fields.values())):
-        step = {}
-        for name, (patterns, group) in fields.items():
-            if n >= len(patterns):
-                continue
-            hit = found(patterns[n], group)
-            if n:
-                step[name] = F.when(F.col(name) == "", hit).otherwise(F.col(name))
-            else:
-                step[name] = hit if where is None else F.when(where, hit)
-        frame = frame.withColumns(step)
-    return frame.withColumns({
-        name: F.when(F.col(name) != "", strip(F.col(name))) for name in fields
-    })
+    return strip(F.coalesce(*[found(p) for p in patterns]))
 
 
 def first_line(text: Column) -> Column:
@@ -177,4 +157,5 @@ def fixed_text(c: Column, digits: int = 2, signed: bool = False) -> Column:
     body = F.format_string(f"%.{digits}f", nudged)
     negative = (c < 0) | (c.cast("string") == "-0.0")
     sign = F.when(negative, "-").otherwise("+" if signed else "")
-    return F.concat(sign, body)
+    # format_string renders null as text.
+    return F.when(c.isNotNull(), F.concat(sign, body))

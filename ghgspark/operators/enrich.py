@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ghgspark.constants import DEFAULT_CURRENCY, DEFAULT_UNIT
-from ghgspark.functions import blank_to_null, float_text, number_or_default, or_default
+from ghgspark.functions import blank_to_null, fixed_text, float_text, number_or_default, or_default
 from ghgspark.schemas import RECORD_COLUMNS
 
 
@@ -178,7 +178,7 @@ def record_summary(records: DataFrame) -> DataFrame:
         number_or_default(F.col("total_eur"), "?").alias("total_text"),
         "emissions_tco2",
         F.coalesce(
-            F.concat(F.format_string("%.3f", "emissions_tco2"), F.lit(" tCO2e")), F.lit("n/a")
+            F.concat(fixed_text(F.col("emissions_tco2"), 3), F.lit(" tCO2e")), F.lit("n/a")
         ).alias("emissions_text"),
     )
 

@@ -6,12 +6,15 @@ combine on the map side) and joins on keys move rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ghgspark.functions import invoice_energy_type
 from ghgspark.operators.enrich import emissions, records_from_lines, with_factor
 from ghgspark.operators.index import index_documents
+from ghgspark.session import scratch_path
 from ghgspark.sources.factors import default_factors
 
 # Invoice labels and export labels by p_type.
@@ -27,7 +30,27 @@ BLOCK_ORDERS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table; its footer is read once per session."""
+    known = spark.__dict__.setdefault("_ghgspark_tables", {})
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in known:
+        known[path] = spark.read.parquet(path)
+    return known[path]
+
+
+def staged(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived input written once per session below the shared scratch folder.
+
+    Rendered texts stand for files and index rows for a stored index: both are data at rest for
+    the operators, so they are scanned as tables instead of being rendered anew in every pass
+    (and rendering expressions stay out of the plans under test).
+    """
+    known = spark.__dict__.setdefault("_ghgspark_staged", {})
+    if (label, sf_dir) not in known:
+        path = scratch_path(spark, label)
+        build().write.parquet(path)
+        known[label, sf_dir] = spark.read.parquet(path)
+    return known[label, sf_dir]
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
@@ -157,6 +180,10 @@ def _layout(frame: DataFrame) -> DataFrame:
 
 
 def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "export-lines", lambda: _export_lines(spark, sf_dir))
+
+
+def _export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines frame of the exports: quoted cells, blank rows, short rows, two encodings.
 
     A block holds the orders of one stretch of keys, so it stays small however large its file is.
@@ -244,6 +271,12 @@ def invoice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_documents(spark: SparkSession, sf_dir: str, tables: str = "has_table") -> DataFrame:
+    return staged(
+        spark, sf_dir, f"invoices-{tables}", lambda: _invoice_documents(spark, sf_dir, tables)
+    )
+
+
+def _invoice_documents(spark: SparkSession, sf_dir: str, tables: str) -> DataFrame:
     """Documents frame of the invoices; ``tables`` is the SQL condition for printing a cell table."""
     iso, german = "'yyyy-MM-dd'", "'dd.MM.yyyy'"
 
@@ -320,4 +353,6 @@ def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index documents of the invoice records."""
-    return index_documents(invoice_records(spark, sf_dir))
+    return staged(
+        spark, sf_dir, "record-index", lambda: index_documents(spread(invoice_records(spark, sf_dir), "pdf_hash"))
+    )

@@ -330,7 +330,8 @@ FROM lines GROUP BY energy_type""",
     "record_summary": f"""WITH {_RECORDS}
 SELECT filename, coalesce(energy_type, '?') AS energy_type, consumption_kwh, consumption_unit,
   CASE WHEN coalesce(total_eur, 0) = 0 THEN '?' ELSE {_float('total_eur')} END AS total_text,
-  CASE WHEN emissions_tco2 IS NULL THEN 'n/a' ELSE printf('%.3f', emissions_tco2) || ' tCO2e' END AS emissions_text
+  CASE WHEN coalesce(consumption_kwh, 0) = 0 OR emission_factor_value IS NULL THEN 'n/a'
+    ELSE printf('%.3f', coalesce(emissions_tco2, 0)) || ' tCO2e' END AS emissions_text
 FROM records""",
     "metadata_defaults": f"""WITH {_RECORDS}
 SELECT pdf_hash AS id, filename, site, coalesce(energy_type, '') AS energy_type, billing_period_from,
@@ -408,7 +409,7 @@ SELECT file AS filename, file || ':row_' || n AS blob_name, sha256(file || ':row
 SELECT doc_id AS invoice_number,
   CASE WHEN english THEN 'Supplier ' || l_suppkey || ' Energy GmbH' ELSE 'Stadtwerk ' || l_suppkey || ' AG' END AS vendor_name,
   c_name AS customer_name, n_name AS site_address, 'Street ' || o_custkey || ', ' || n_name AS address,
-  strftime(o_orderdate, CASE WHEN english THEN '%Y-%m-%d' ELSE '%d.%m.%Y' END) AS invoice_date,
+  CASE WHEN english THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%d.%m.%Y') END AS invoice_date,
   CASE WHEN english THEN 'USD' ELSE 'CHF' END AS currency, first_day AS billing_period_from,
   last_day AS billing_period_to, true AS success FROM facts""",
     "invoice_totals": f"""WITH {_FACTS}

@@ -282,7 +282,8 @@ def sap_short_rows(spark, sf):
 @query
 def sap_warnings(spark, sf):
     documents = Export(A.export_lines(spark, sf)).documents()
-    return documents.select("filename", F.explode("warnings").alias("warning")).groupBy("filename").agg(
+    found = documents.select("filename", F.explode_outer("warnings").alias("warning"))
+    return found.where(F.col("warning").isNotNull()).groupBy("filename").agg(
         F.count("*").alias("warnings"), F.countDistinct("warning").alias("kinds")
     )
 
@@ -340,8 +341,8 @@ def invoice_lines_table(spark, sf):
 def invoice_lines_fallback(spark, sf):
     parsed = invoices.parse_documents(A.invoice_documents(spark, sf))
     return parsed.select(
-        F.explode("warnings").alias("warning"), F.size("line_items").alias("n")
-    ).groupBy("warning").agg(F.count("*").alias("documents"), F.sum("n").alias("items"))
+        F.explode_outer("warnings").alias("warning"), F.size("line_items").alias("n")
+    ).where(F.col("warning").isNotNull()).groupBy("warning").agg(F.count("*").alias("documents"), F.sum("n").alias("items"))
 
 
 @query

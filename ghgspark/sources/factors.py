@@ -18,7 +18,16 @@ _ENTRY = "struct<value:double,unit:string,source:string,year:int,note:string>"
 
 
 def default_factors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EMISSION_FACTORS), FACTORS)
+    """The built-in factors as inline rows, whose exact size lets Catalyst broadcast them."""
+
+    def literal(value: str | int | float) -> str:
+        if isinstance(value, str):
+            return f"'{value}'"
+        return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+    rows = ", ".join(f"({', '.join(map(literal, row))})" for row in EMISSION_FACTORS)
+    names = ", ".join(column.split()[0] for column in FACTORS.split(", "))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS factors({names})")
 
 
 def load_factors(spark: SparkSession, path: str) -> DataFrame:

@@ -434,7 +434,7 @@ def index_reset(spark, sf):
 @query
 def embed_default(spark, sf):
     turns = hashed_terms(A.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text")
-    return turns.select("conv_id", "turn", F.posexplode("embedding").alias("dimension", "weight")).where(
+    return turns.select("conv_id", "turn", F.posexplode_outer("embedding").alias("dimension", "weight")).where(
         "weight <> 0"
     ).withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 

@@ -402,6 +402,12 @@ SELECT 'SAP-export_' || lower(n_name) || '-R' || n AS invoice_number, n_name AS
 SELECT file AS filename, file || ':row_' || n AS blob_name, sha256(file || ':row_' || n) AS row_hash,
   'SAP-export_' || lower(n_name) || '-R' || n AS invoice_number FROM good""",
     "sap_short_rows": f"WITH {_EXPORTS} SELECT file, count(*) FILTER (WHERE short) AS skipped_rows FROM valued GROUP BY file",
+    "sap_warnings": f"""WITH {_EXPORTS}
+SELECT file AS filename, count(*) FILTER (WHERE period IS NULL) AS warnings,
+  count(DISTINCT CASE WHEN period IS NULL THEN CASE WHEN has_header THEN
+    CASE o_orderkey % 8 WHEN 7 THEN 0 ELSE o_orderkey % 8 END ELSE o_orderkey % 4 END
+    || strftime(o_orderdate, '%Y-%m') END) AS kinds
+FROM good GROUP BY file HAVING count(*) FILTER (WHERE period IS NULL) > 0""",
     "sap_b3": f"WITH {_EXPORTS}, named AS (SELECT *, n_name AS site FROM good), " + _b3(
         "named", "site", qty="kwh", months=("period", "period")
     ),

@@ -17,7 +17,8 @@ def _file_name(path: Column) -> Column:
 def list_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """``file, kind, length`` of a folder's documents and exports, by name, not recursive.
 
-    Only metadata is read, never content.
+    Only metadata is read, never content. Spark's file scans leave out files without a byte; to
+    report those, pass the expected names to :func:`admit` as ``requested``.
     """
     return (
         spark.read.format("binaryFile")

@@ -37,7 +37,7 @@ def load_factors(spark: SparkSession, path: str) -> DataFrame:
     empty set. ``note`` defaults to ''.
     """
     try:
-        documents = spark.read.option("wholetext", True).text(path)
+        documents = spark.read.text(path, wholetext=True)
     except AnalysisException:
         logger.warning("Emission factors file not found: %s", path)
         return spark.createDataFrame([], FACTORS)

@@ -6,12 +6,16 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ghgspark.llm.bpe import encode_decode
 from ghgspark.llm.common import read_table
 from ghgspark.llm.licenses import scan_licenses
 from ghgspark.llm.packing import pack_documents
+from ghgspark.llm.quality import held_out, score_quality, train
+from ghgspark.llm.secrets import scan_secrets
 from ghgspark.llm.sharding import shard_records
+from ghgspark.llm.topk import top_k
 
 SHARDS = 24
 
@@ -34,12 +38,43 @@ def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(read_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op5_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(documents, read_table(spark, sf_dir, "labels"))
+    return score_quality(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(
         read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 LLM_QUERIES = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_license_scan, op4_rendezvous_shards, op6_byte_bpe)
+    f.__name__: f for f in (op1_best_fit_packing, op3_license_scan, op4_rendezvous_shards, op5_passage_quality,
+                              op6_byte_bpe, op7_secret_scan, op9_exact_top_k)
+}
+LLM_ORACLES = {
+    "op9_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as double)) as e
+            from embeddings
+            where vec_id is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (
+            select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+            from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
+        r as (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+                   vec_id, score
+            from s)
+        select query_id, rank, vec_id, score from r where rank <= 20""",
 }
-LLM_ORACLES: dict[str, str] = {}

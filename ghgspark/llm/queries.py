@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ghgspark.llm.bpe import encode_decode
 from ghgspark.llm.common import read_table
+from ghgspark.llm.fingerprints import edited_fingerprints
 from ghgspark.llm.licenses import scan_licenses
 from ghgspark.llm.packing import pack_documents
 from ghgspark.llm.quality import held_out, score_quality, train
@@ -30,6 +31,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_license_scan, op4_rendezvous_shards, op5_passage_quality,
+    f.__name__: f for f in (op1_best_fit_packing, op2_i_match, op3_license_scan, op4_rendezvous_shards, op5_passage_quality,
                               op6_byte_bpe, op7_secret_scan, op9_exact_top_k)
 }
 LLM_ORACLES = {

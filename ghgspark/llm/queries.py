@@ -12,6 +12,7 @@ from ghgspark.llm.bpe import encode_decode
 from ghgspark.llm.common import read_table
 from ghgspark.llm.fingerprints import edited_fingerprints
 from ghgspark.llm.licenses import scan_licenses
+from ghgspark.llm.neardup import near_duplicates
 from ghgspark.llm.packing import pack_documents
 from ghgspark.llm.quality import held_out, score_quality, train
 from ghgspark.llm.secrets import scan_secrets
@@ -58,6 +59,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op8_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -65,9 +70,32 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     f.__name__: f for f in (op1_best_fit_packing, op2_i_match, op3_license_scan, op4_rendezvous_shards, op5_passage_quality,
-                              op6_byte_bpe, op7_secret_scan, op9_exact_top_k)
+                              op6_byte_bpe, op7_secret_scan, op8_hyperminhash_dedup, op9_exact_top_k)
 }
 LLM_ORACLES = {
+    "op8_hyperminhash_dedup": """
+        with recursive d as (
+            select doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w
+            from documents),
+        e as (
+            select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+                else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+            from d),
+        sets as (select min(doc_id) as id, list_sort(s) as s from e where len(s) > 0 group by list_sort(s)),
+        t as (select id, len(s) as n, unnest(s) as x from sets),
+        p as (
+            select a.id as u, b.id as v, any_value(a.n) as an, any_value(b.n) as bn, count(*) as c
+            from t a join t b on a.x = b.x and a.id < b.id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
+            group by a.id, b.id),
+        l as (select u, v from p where 100 * c >= 80 * (an + bn - c)),
+        around as (select u, v from l union all select v, u from l),
+        r as (select id as u, id as v from sets union select r.u, around.v from r join around on r.v = around.u),
+        m as (select u, min(v) as c from r group by u)
+        select e.doc_id, cast(len(e.s) as bigint) as n_shingles, coalesce(m.c, e.doc_id) as component_id,
+               coalesce(m.c, e.doc_id) = e.doc_id as kept
+        from e left join sets on len(e.s) > 0 and list_sort(e.s) = sets.s left join m on m.u = sets.id""",
     "op9_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as double)) as e

@@ -17,6 +17,7 @@ from ghgspark.llm.packing import pack_documents
 from ghgspark.llm.quality import held_out, score_quality, train
 from ghgspark.llm.secrets import scan_secrets
 from ghgspark.llm.sharding import shard_records
+from ghgspark.llm.suffixes import remove_repeats
 from ghgspark.llm.topk import top_k
 
 SHARDS = 24
@@ -68,9 +69,15 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 LLM_QUERIES = {
     f.__name__: f for f in (op1_best_fit_packing, op2_i_match, op3_license_scan, op4_rendezvous_shards, op5_passage_quality,
-                              op6_byte_bpe, op7_secret_scan, op8_hyperminhash_dedup, op9_exact_top_k)
+                              op6_byte_bpe, op7_secret_scan, op8_hyperminhash_dedup, op9_exact_top_k,
+                              op10_suffix_dedup)
 }
 LLM_ORACLES = {
     "op8_hyperminhash_dedup": """

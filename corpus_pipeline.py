@@ -1,15 +1,71 @@
-"""Corpus pipeline: documents in, packed training sequences out. Every stage calls one operator of ``ghgspark.llm``."""
+"""Corpus pipeline: documents in, packed training sequences out. Every stage calls one operator of ``ghgspark.llm``.
+
+Stages take (spark, docs, sf_dir) and work on all rows that the stage before kept. Each result is written as Parquet to
+the shared scratch folder and read again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ghgspark.llm.common import read_table, staged
+from ghgspark.llm.neardup import near_duplicates
+from ghgspark.llm.packing import pack_documents
+from ghgspark.llm.quality import score_quality, train
+from ghgspark.llm.queries import tokenizer
+from ghgspark.llm.secrets import redact
+from ghgspark.llm.suffixes import remove_repeats
+
+#: A document is rejected below this score: the classifier's own boundary.
+QUALITY = 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the passage classifier rejects go. It learns from the labels of documents that are not held out."""
+    model = train(docs, read_table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where(f"score >= {QUALITY}").select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five-word shingles, similarity 0.8) stays: its smallest doc_id.
+
+    Of rows that repeat a kept doc_id the one with the smallest text stays; rows without an id all stay.
+    """
+    kept = near_duplicates(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").select("*").selectExpr(
+        "*", "row_number() over (partition by doc_id order by text) as _row").where("_row = 1")
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that a document with a smaller id has too are taken out of the text."""
+    return remove_repeats(docs).select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mask."""
+    return redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of 2048."""
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_copies", keep_one_of_near_copies),
+    ("repeated_passages", drop_repeated_passages),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: The classifier cannot be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -23,7 +23,8 @@ QUALITY = 0.5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the passage classifier rejects go. It learns from the labels of documents that are not held out."""
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where(f"score >= {QUALITY}").select(docs.columns)
+    scored = score_quality(docs, model, ("_quality", "_predicted"))
+    return scored.where(f"_quality >= {QUALITY}").select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Of rows that repeat a kept doc_id the one with the smallest text stays; rows without an id all stay.
     """
     kept = near_duplicates(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select("*").selectExpr(
-        "*", "row_number() over (partition by doc_id order by text) as _row").where("_row = 1")
+    named = docs.join(kept, "doc_id", "left_semi").selectExpr(
+        "*", "row_number() over (partition by doc_id order by text) as _near_copy").where("_near_copy = 1")
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

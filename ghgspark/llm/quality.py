@@ -151,10 +151,11 @@ def train(documents: DataFrame, labels: DataFrame, documents_bound: int = SAMPLE
     return fit(bags, np.array([r["quality"] for r in sample], np.float32))
 
 
-def score_quality(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents with ``score`` (double) and ``predicted`` (int, 1 from 0.5 on), from the whole text alone.
+def score_quality(documents: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The documents with a score (double) and a prediction (int, 1 from 0.5 on), from the whole text alone.
 
-    A null text is empty and has a score too. Every other column passes through; an empty table stays empty.
+    A null text is empty and has a score too. Every other column passes through, but for columns of the new ``names``,
+    which give way; an empty table stays empty.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +167,8 @@ def score_quality(documents: DataFrame, model: Model) -> DataFrame:
             score = np.concatenate([np.zeros(0), *scores]).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                names=[*batch.schema.names, "score", "predicted"])
+                names=[*batch.schema.names, *names])
 
-    kept = documents.drop("score", "predicted")
+    kept = documents.drop(*names)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{types}, score double, predicted int")
+    return kept.mapInArrow(run, f"{types}, `{names[0]}` double, `{names[1]}` int")

@@ -68,7 +68,8 @@ def train_ratios(documents: DataFrame, bound: int = SAMPLE_DOCUMENTS, smoothing:
     """Log-likelihood ratio (random over ordinary) of every character following another, by position in ALPHABET.
 
     Labelled samples come from about ``bound`` documents, chosen by the hash of doc_id and text: values behind base hits
-    are random strings (and so are their capitals), other words of 6 or more characters are ordinary. Only counts of character pairs (at most
+    are random strings (and so are their capitals), other words of 6 or more characters are ordinary, but for those that
+    could be random strings themselves. Only counts of character pairs (at most
     2 * 67 * 67) reach the driver.
     """
     total = documents.count()
@@ -79,7 +80,8 @@ def train_ratios(documents: DataFrame, bound: int = SAMPLE_DOCUMENTS, smoothing:
     )
     random = F.expr("""flatten(transform(concat(_assign, _access, _hex), s ->
         regexp_extract_all(substring(_text, s.start + 1, s.end - s.start), '[A-Za-z0-9+/_=-]{16,}', 0)))""")
-    words = F.expr("array_distinct(regexp_extract_all(_text, '[A-Za-z0-9+/_=-]{6,}', 0))")
+    words = F.expr("""filter(array_distinct(regexp_extract_all(_text, '[A-Za-z0-9+/_=-]{6,}', 0)),
+        w -> length(w) < 16 or not (w rlike '[0-9]' and w rlike '[A-Za-z]'))""")
     labelled = sample.select(random.alias("random"), words.alias("words")).select(
         F.expr("concat(transform(array_distinct(concat(random, transform(random, w -> upper(w)))),"
                " w -> struct(1 as label, w as word)),"
@@ -144,14 +146,20 @@ def redact(documents: DataFrame, ratios: np.ndarray | None = None, mask: str = "
     Texts without a span, null ones too, stay as they are. Further columns pass through.
     """
     ratios = train_ratios(documents) if ratios is None else ratios
-    found = find_spans(documents, ratios).withColumn("_spans", F.expr("array_sort(concat(_assign, _access, _hex, _markov))"))
+    whole = documents.select(F.struct("*").alias("_row"), "text")  # further columns cannot clash with the spans'
+    found = find_spans(whole, ratios).withColumn("_spans", F.expr("array_sort(concat(_assign, _access, _hex, _markov))"))
     cleaned = f"""aggregate(_spans, struct(0 as at, array('') as parts),
         (acc, s) -> struct(greatest(acc.at, s.end) as at,
             if(s.start > acc.at or acc.at = 0,
                concat(acc.parts, array(substring(_text, acc.at + 1, s.start - acc.at), '{mask}')), acc.parts) as parts),
         acc -> concat(array_join(acc.parts, ''), substring(_text, acc.at + 1)))"""
-    out = found.withColumn("text", F.expr(f"if(size(_spans) = 0, text, {cleaned})"))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.expr("if(size(_spans) = 0, n_chars, length(text))")
-                             .cast(documents.schema["n_chars"].dataType))
-    return out.select(documents.columns)
+    out = found.select("_row", F.expr(f"if(size(_spans) = 0, text, {cleaned})").alias("_clean"), F.size("_spans").alias("_hits"))
+
+    def column(name: str):
+        if name == "text":
+            return F.col("_clean").alias("text")
+        if name == "n_chars":
+            return F.expr("if(_hits = 0, _row.n_chars, length(_clean))").cast(documents.schema[name].dataType).alias(name)
+        return F.col(f"_row.`{name}`").alias(name)
+
+    return out.select(*map(column, documents.columns))

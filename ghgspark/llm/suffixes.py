@@ -214,7 +214,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
     if length < 8:
         raise ValueError("strings of 8 bytes or more")
     columns = [c for c in documents.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
-    rows = documents.select(*columns, F.xxhash64("text").alias("_key"))
+    rows = documents.select(*columns, F.xxhash64("text").alias("_rr_key"))
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, groups = max(1, math.ceil(total / part_bytes)), max(1, math.ceil(total / group_bytes))
 
@@ -222,7 +222,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
         for whole in batches:
             for low in range(0, whole.num_rows, 60000):
                 batch = whole.slice(low, 60000)
-                ids, keys = ids_of(batch.column("doc_id")), batch.column("_key").to_numpy()
+                ids, keys = ids_of(batch.column("doc_id")), batch.column("_rr_key").to_numpy()
                 data, offsets = utf8(batch.column("text"))
                 found = []
                 for a, b in blocks(offsets, 1 << 19):
@@ -272,31 +272,31 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
         group = np.where(gone, -1, (np.int64(part) << 32) | own["gram"].astype(np.int64))
         keep = gone | ask
         to, packed = dealt(pack_marks(ids[keep], keys[keep], group[keep], own["start"][keep], own["count"][keep]), groups)
-        return pa.table({"to": pa.array(to, pa.int64()), "marks": pa.array(packed, pa.binary())})
+        return pa.table({"_rr_to": pa.array(to, pa.int64()), "marks": pa.array(packed, pa.binary())})
 
-    marks = (rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_key", "text")
+    marks = (rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_rr_key", "text")
              .mapInArrow(entries, "part int, entries binary, docs binary")
-             .groupBy("part").applyInArrow(meet, "to long, marks binary"))
+             .groupBy("part").applyInArrow(meet, "_rr_to long, marks binary"))
 
     def group_column(frame: DataFrame, n: int) -> DataFrame:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                to = group_of(ids_of(b.column("doc_id").cast(pa.int64())), b.column("_key").to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to)], names=[*b.schema.names, "to"])
+                to = group_of(ids_of(b.column("doc_id").cast(pa.int64())), b.column("_rr_key").to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to)], names=[*b.schema.names, "_rr_to"])
 
-        return frame.mapInArrow(add, T.StructType([*frame.schema.fields, T.StructField("to", T.LongType())]))
+        return frame.mapInArrow(add, T.StructType([*frame.schema.fields, T.StructField("_rr_to", T.LongType())]))
 
     digest = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(
-        "n_bytes long, n_removed long, n_spans long, kept_sha256 string, gone binary, asked binary").fields])
+        "n_bytes long, n_removed long, n_spans long, kept_sha256 string, _rr_gone binary, _rr_asked binary").fields])
     has_chars = "n_chars" in columns
 
     def settle(last: bool):
         """Apply a group's marks to its documents. Documents with contexts still to compare wait, unless it is the last
         step: their text stays, with what is gone so far."""
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            left = left.drop_columns(["to"])
-            ids, keys = ids_of(left.column("doc_id").cast(pa.int64()).combine_chunks()), left.column("_key").to_numpy()
+            left = left.drop_columns(["_rr_to"])
+            ids, keys = ids_of(left.column("doc_id").cast(pa.int64()).combine_chunks()), left.column("_rr_key").to_numpy()
             data, offsets = utf8(left.column("text"))
             found = np.concatenate([np.zeros(0, MARK), *(np.frombuffer(m, MARK) for m in right.column("marks").to_pylist())])
             found = found[np.lexsort((found["key"], found["doc"]))]
@@ -305,7 +305,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
                 if len(found) else np.zeros(0, np.int64)
             spans = {(int(names.a[i]), int(names.b[i])): (i, j) for i, j in zip(begin, np.r_[begin[1:], len(found)])}
             texts, gone_, asked_, figures = left.column("text").to_pylist(), [], [], []
-            before = left.column("gone").to_pylist() if "gone" in left.column_names else [None] * len(ids)
+            before = left.column("_rr_gone").to_pylist() if "_rr_gone" in left.column_names else [None] * len(ids)
             for i, text in enumerate(texts):
                 a, b = spans.get((int(ids[i]), int(keys[i])), (0, 0))
                 own = found[a:b]
@@ -330,7 +330,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
                     texts[i] = kept.decode("utf-8", "ignore")
                 gone_.append(None)
                 asked_.append(None)
-            out = {c: left.column(c) for c in [*columns, "_key"]}
+            out = {c: left.column(c) for c in [*columns, "_rr_key"]}
             if has_chars:
                 changed = np.array([bool(f[2]) for f in figures], bool)
                 sizes = pa.array([len(t) if t is not None else 0 for t in texts], left.schema.field("n_chars").type)
@@ -338,15 +338,15 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
             out["text"] = pa.array(texts, left.schema.field("text").type)
             for (name, kind), values in zip(digest, zip(*figures) if figures else [[]] * 4):
                 out[name] = pa.array(values, kind)
-            out["gone"], out["asked"] = pa.array(gone_, pa.binary()), pa.array(asked_, pa.binary())
+            out["_rr_gone"], out["_rr_asked"] = pa.array(gone_, pa.binary()), pa.array(asked_, pa.binary())
             return pa.table(out)
 
         return run
 
-    step = staged(group_column(rows, groups).groupBy("to").cogroup(marks.groupBy("to")).applyInArrow(settle(False), schema), "settled")
-    waiting = step.where("asked is not null")
-    asked = waiting.agg(F.sum(F.length("asked"))).first()[0] or 0
-    result = step.where("asked is null").select(*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    step = staged(group_column(rows, groups).groupBy("_rr_to").cogroup(marks.groupBy("_rr_to")).applyInArrow(settle(False), schema), "settled")
+    waiting = step.where("_rr_asked is not null")
+    asked = waiting.agg(F.sum(F.length("_rr_asked"))).first()[0] or 0
+    result = step.where("_rr_asked is null").select(*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256")
     if not asked:
         return result
     compares = max(1, math.ceil(asked / MARK.itemsize * (length + 25) / (4 << 20)))
@@ -356,7 +356,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
         """Contexts to compare, as bytes, by the group of their substring."""
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            asked = [np.frombuffer(m, MARK) for m in batch.column("asked").to_pylist()]
+            asked = [np.frombuffer(m, MARK) for m in batch.column("_rr_asked").to_pylist()]
             if not asked:
                 continue
             own = np.concatenate(asked)
@@ -383,10 +383,10 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
         counts = np.diff(np.r_[new, len(owner)])
         owner, offset = owner[new], offset[new]
         to, packed = dealt(pack_marks(own["doc"][owner], own["key"][owner], -1, own["start"][owner] + offset, counts), later)
-        return pa.table({"to": pa.array(to, pa.int64()), "marks": pa.array(packed, pa.binary())})
+        return pa.table({"_rr_to": pa.array(to, pa.int64()), "marks": pa.array(packed, pa.binary())})
 
-    found = (waiting.select("text", "asked").mapInArrow(fetch, "part long, marks binary, texts binary")
-             .groupBy("part").applyInArrow(compare, "to long, marks binary"))
-    rest = waiting.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "asked")
-    done = group_column(rest, later).groupBy("to").cogroup(found.groupBy("to")).applyInArrow(settle(True), schema)
+    found = (waiting.select("text", "_rr_asked").mapInArrow(fetch, "part long, marks binary, texts binary")
+             .groupBy("part").applyInArrow(compare, "_rr_to long, marks binary"))
+    rest = waiting.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "_rr_asked")
+    done = group_column(rest, later).groupBy("_rr_to").cogroup(found.groupBy("_rr_to")).applyInArrow(settle(True), schema)
     return result.unionByName(done.select(result.columns))

@@ -9,12 +9,13 @@ from ghgspark.functions.text import strip
 
 GERMAN, ENGLISH = "german", "english"
 
-# What try_cast reads but is no finite number: '1d', 'nan', 'inf', three-digit exponents.
-_NOT_A_NUMBER = r"[A-DF-Za-df-z]|[eE]\+?\d{3}|\d{300}"
+# What try_cast reads but is no number: '1d', 'nan', 'inf'.
+_NOT_A_NUMBER = r"[A-DF-Za-df-z]"
 
 
 def _guarded(c: Column) -> Column:
-    return F.when(~c.rlike(_NOT_A_NUMBER), c.try_cast("double"))
+    value = F.when(~c.rlike(_NOT_A_NUMBER), c.try_cast("double"))
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def clean_number(c: Column) -> Column:
@@ -54,5 +55,12 @@ def to_double(c: Column) -> Column:
 
 
 def exact(c: Column, scale: int = 8) -> Column:
-    """Decimal view of a double, so that sums do not depend on their order."""
-    return c.cast(f"decimal(28,{scale})")
+    """Decimal view of a double, so that sums do not depend on their order; null beyond its range."""
+    return c.try_cast(f"decimal(28,{scale})")
+
+
+def exact_sum(c: Column, scale: int = 8) -> Column:
+    """Sum as a double. Decimal, so that it does not depend on the rows' order, as long as every value and the sum fit;
+    a plain sum of doubles otherwise."""
+    fits = F.count(exact(c, scale)) == F.count(c)
+    return F.coalesce(F.when(fits, F.try_sum(exact(c, scale))).cast("double"), F.sum(c))

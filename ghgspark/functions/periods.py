@@ -16,7 +16,7 @@ _SHAPES = (
     r"|(\d{2})\.(\d{4})"
     r"|(\d{4})(\d{2})"
     r"|P?(\d{2})/(\d{4})"
-    r"|([A-Za-zäöü]+)\s+(\d{4}))$"
+    r"|([A-Za-zäöü]+)(?U:\s)+(\d{4}))$"
 )
 _YEAR_THEN_MONTH = "$1$4$5$8$10-$2$3$6$7$9"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ghgspark.constants import DEFAULT_CURRENCY, DEFAULT_UNIT
-from ghgspark.functions import blank_to_null, fixed_text, float_text, number_or_default, or_default
+from ghgspark.functions import blank_to_null, exact_sum, fixed_text, float_text, number_or_default, or_default
 from ghgspark.schemas import RECORD_COLUMNS
 
 
@@ -117,7 +117,7 @@ def line_totals(
         F.sum(F.coalesce("consumption_kwh", F.lit(0.0))).alias("consumption_kwh"),
         first("energy_type").alias("energy_type"),
         F.coalesce(first("consumption_unit"), F.lit(DEFAULT_UNIT)).alias("consumption_unit"),
-        F.sum(F.col("amount_eur").cast("decimal(28,4)")).cast("double").alias("total_eur"),
+        exact_sum(F.col("amount_eur"), 4).alias("total_eur"),
     ]
     if not per_line:
         return with_factor(lines.groupBy(key).agg(*measures), factors).withColumn(
@@ -126,7 +126,7 @@ def line_totals(
     own = with_factor(lines, factors)
     product = emissions(F.coalesce("consumption_kwh", F.lit(0.0)), F.col("emission_factor_value"))
     return own.groupBy(key).agg(
-        *measures, F.sum(product.cast("decimal(28,8)")).cast("double").alias("emissions_tco2")
+        *measures, exact_sum(product).alias("emissions_tco2")
     )
 
 
@@ -174,6 +174,7 @@ def record_summary(records: DataFrame) -> DataFrame:
         "filename",
         or_default(F.col("energy_type"), "?").alias("energy_type"),
         "consumption_kwh",
+        F.format_number(F.rint("consumption_kwh"), 0).alias("consumption_text"),
         "consumption_unit",
         number_or_default(F.col("total_eur"), "?").alias("total_text"),
         "emissions_tco2",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ghgspark.constants import (
     REPORT_RANGES,
     SCOPE_OF_ENERGY_TYPE,
 )
-from ghgspark.functions import blank_to_null, exact, fixed_text, month_span, strip
+from ghgspark.functions import exact, exact_sum, fixed_text, month_span, strip
 
 _KNOWN_TYPES = tuple(SCOPE_OF_ENERGY_TYPE)
 
@@ -25,8 +26,8 @@ def totals_by_type(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         records.where(F.col("energy_type").isNotNull())
         .groupBy(*by, "energy_type")
         .agg(
-            F.coalesce(F.sum(exact(F.col("consumption_kwh"))), F.lit(0)).cast("double").alias("consumption_kwh"),
-            F.coalesce(F.sum(exact(F.col("emissions_tco2"))), F.lit(0)).cast("double").alias("emissions_tco2"),
+            F.coalesce(exact_sum(F.col("consumption_kwh")), F.lit(0.0)).alias("consumption_kwh"),
+            F.coalesce(exact_sum(F.col("emissions_tco2")), F.lit(0.0)).alias("emissions_tco2"),
         )
     )
 
@@ -35,13 +36,14 @@ def unknown_types(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One warning row per energy type outside both scopes, with the excluded consumption."""
     outside = records.where(~F.col("energy_type").isin(*_KNOWN_TYPES))
     return totals_by_type(outside, by).select(
-        *by,
-        "energy_type",
-        "consumption_kwh",
-        F.concat(
-            F.lit("Unknown energy type '"), F.col("energy_type"), F.lit("' with "),
-            fixed_text(F.col("consumption_kwh"), 1), F.lit(" consumption excluded from MWh total"),
-        ).alias("warning"),
+        *by, "energy_type", "consumption_kwh", _excluded(F.col("energy_type"), F.col("consumption_kwh")).alias("warning")
+    )
+
+
+def _excluded(energy_type: Column, consumption: Column) -> Column:
+    return F.concat(
+        F.lit("Unknown energy type '"), energy_type, F.lit("' with "), fixed_text(consumption, 1),
+        F.lit(" consumption excluded from MWh total"),
     )
 
 
@@ -56,53 +58,69 @@ def _period_bounds() -> tuple[Column, Column]:
 def report(records: DataFrame, by: Sequence[str] = (), turnover: float | None = None) -> DataFrame:
     """One row per combination of ``by`` (one row in all without it).
 
-    Everything is a single partial and final aggregate: no shuffle of records, and no key
-    wide enough to be skewed. Sums are taken in decimal so they do not depend on row order.
+    Records are summed by type first, then by ``by``: partial aggregates in both steps, no shuffle of records and no
+    key wide enough to be skewed. Sums are decimal, so they do not depend on row order; where a value or a sum is
+    beyond the decimals' range the sum of doubles takes over and a warning says so. Warnings name the unknown types
+    (in order), then the values out of range, then the periods.
     """
     kind = F.col("energy_type")
-    consumption, emitted = exact(F.col("consumption_kwh")), exact(F.col("emissions_tco2"))
-
-    def total(value: Column, *types: str) -> Column:
-        return F.coalesce(F.sum(F.when(kind.isin(*types), value)), F.lit(0))
-
     start, end = _period_bounds()
-    sums = records.groupBy(*by).agg(
-        F.count("*").alias("records_count"),
-        start.alias("first_period"),
-        end.alias("last_period"),
-        total(consumption, "electricity").alias("electricity"),
-        total(consumption, "natural_gas").alias("gas"),
-        total(consumption, "diesel").alias("diesel"),
-        *[
-            total(emitted, *[t for t, s in SCOPE_OF_ENERGY_TYPE.items() if s == scope]).alias(f"scope{scope}")
-            for scope in (1, 2)
-        ],
+    by_type = records.groupBy(*by, "energy_type").agg(
+        F.count("*").alias("n"), start.alias("first_period"), end.alias("last_period"),
+        *[x for name in ("consumption_kwh", "emissions_tco2") for x in (
+            F.when(F.count(exact(F.col(name))) == F.count(name), F.coalesce(F.try_sum(exact(F.col(name))), F.lit(0)))
+            .alias(f"{name}_exact"),
+            F.coalesce(F.sum(name), F.lit(0.0)).alias(f"{name}_double"))],
     )
-    per_kwh = F.lit("0.001").cast("decimal(4,3)")
-    per_litre = F.lit(str(MWH_PER_LITRE_DIESEL)).cast("decimal(7,6)")
-    energy = {
-        "electricity_mwh": F.col("electricity") * per_kwh,
-        "gas_mwh": F.col("gas") * per_kwh,
-        "diesel_mwh": F.col("diesel") * per_litre,
-    }
-    total_mwh = energy["electricity_mwh"] + energy["gas_mwh"] + energy["diesel_mwh"]
+    scopes = {f"scope{s}": [t for t, own in SCOPE_OF_ENERGY_TYPE.items() if own == s] for s in (1, 2)}
+    totals = {"electricity": ("consumption_kwh", ["electricity"]), "gas": ("consumption_kwh", ["natural_gas"]),
+              "diesel": ("consumption_kwh", ["diesel"]), **{k: ("emissions_tco2", v) for k, v in scopes.items()}}
+
+    def chosen(name: str, how: str) -> Column:
+        return F.when(kind.isin(*totals[name][1]), F.col(f"{totals[name][0]}_{how}"))
+
+    def in_range(name: str) -> Column:
+        return F.coalesce(F.bool_and(chosen(name, "exact").isNotNull() | ~F.coalesce(kind.isin(*totals[name][1]), F.lit(False))), F.lit(True))
+
+    unknown = F.when(kind.isNotNull() & ~kind.isin(*_KNOWN_TYPES), F.struct(
+        "energy_type", _excluded(kind, F.coalesce(F.col("consumption_kwh_exact").cast("double"), "consumption_kwh_double")).alias("text")))
+    sums = by_type.groupBy(*by).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records_count"),
+        F.min("first_period").alias("first_period"), F.max("last_period").alias("last_period"),
+        # As many as there are unknown types.
+        F.transform(F.array_sort(F.collect_list(unknown)), lambda u: u["text"]).alias("unknown"),
+        *[x for name in totals for x in (
+            F.when(in_range(name), F.coalesce(F.try_sum(chosen(name, "exact")), F.lit(0))).alias(name),
+            F.coalesce(F.sum(chosen(name, "double")), F.lit(0.0)).alias(f"{name}_double"))],
+    )
+    factors = {"electricity": "0.001", "gas": "0.001", "diesel": str(MWH_PER_LITRE_DIESEL)}
 
-    def rounded(value: Column) -> Column:
-        return F.round(value, 2).cast("double")
+    def scaled(name: str) -> Column:
+        places = len(factors[name]) - 2
+        return F.col(name) * F.lit(factors[name]).cast(f"decimal({places + 1},{places})")
 
+    def rounded(value: Column, other: Column) -> Column:
+        return F.coalesce(F.round(value, 2).cast("double"), F.round(other, 2))
+
+    energy = {
+        f"{name}_mwh": (scaled(name), F.col(f"{name}_double") * float(factor)) for name, factor in factors.items()
+    }
+    total_mwh = [reduce(lambda x, y: x + y, side) for side in zip(*energy.values())]
+    too_large = reduce(lambda x, y: x | y, [F.col(name).isNull() for name in totals])
     months = month_span(F.col("first_period"), F.col("last_period"))
     return sums.select(
         *by,
         "records_count",
         F.coalesce("first_period", F.lit("unknown")).alias("period_start"),
         F.coalesce("last_period", F.lit("unknown")).alias("period_end"),
-        *[rounded(v).alias(name) for name, v in energy.items()],
-        rounded(total_mwh).alias("total_energy_mwh"),
-        rounded(F.col("scope1")).alias("scope1_tco2eq"),
-        rounded(F.col("scope2")).alias("scope2_tco2eq"),
+        *[rounded(*v).alias(name) for name, v in energy.items()],
+        rounded(*total_mwh).alias("total_energy_mwh"),
+        rounded(F.col("scope1"), F.col("scope1_double")).alias("scope1_tco2eq"),
+        rounded(F.col("scope2"), F.col("scope2_double")).alias("scope2_tco2eq"),
         F.lit(turnover).cast("double").alias("turnover_eur"),
-        F.array_compact(
+        F.concat("unknown", F.array_compact(
             F.array(
+                F.when(too_large, F.lit("Values beyond the exact range, summed as floating-point numbers")),
                 F.when(F.col("first_period").isNull(), F.lit("No billing period data found in CSV")),
                 F.when(
                     months > MAX_REPORT_MONTHS,
@@ -113,7 +131,7 @@ def report(records: DataFrame, by: Sequence[str] = (), turnover: float | None =
                     ),
                 ),
             )
-        ).alias("warnings"),
+        )).alias("warnings"),
     )
 
 
@@ -169,9 +187,3 @@ def has_required_columns(frame: DataFrame) -> None:
     missing = {"energy_type", "consumption_kwh", "emissions_tco2"} - set(frame.columns)
     if missing:
         raise ValueError(f"CSV missing required columns: {sorted(missing)}")
-
-
-__all__ = [
-    "blank_to_null", "has_required_columns", "named_values", "period_range", "report",
-    "totals_by_type", "unknown_types",
-]

@@ -54,13 +54,8 @@ def staged(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], Dat
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
-    """Repartition an input that comes in fewer pieces than there are cores; others stay put.
-
-    Row-by-row rendering and parsing follow the pieces of the scan, and a table in one small
-    file would otherwise keep a single core busy.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, *keys) if frame.rdd.getNumPartitions() < cores else frame
+    """Deal the rows of a small file over the cores: rendering and parsing follow the pieces of the scan."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

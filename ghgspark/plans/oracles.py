@@ -49,6 +49,11 @@ def _b3(source: str, by: str, turnover: str | None = None, qty: str = "qty", emi
     {total(qty, 'electricity')} AS e, {total(qty, 'natural_gas')} AS g, {total(qty, 'diesel')} AS d,
     {total(emitted, 'natural_gas', 'diesel')} AS s1, {total(emitted, 'electricity')} AS s2
   FROM {source} {group}),
+kinds AS (
+  SELECT {keys}energy_type, 'Unknown energy type ''' || energy_type || ''' with '
+    || printf('%.1f', CAST(sum({qty}) AS DOUBLE)) || ' consumption excluded from MWh total' AS text
+  FROM {source} WHERE energy_type NOT IN ('electricity', 'natural_gas', 'diesel') GROUP BY {keys}energy_type),
+outside AS (SELECT {keys}string_agg(text, '; ' ORDER BY energy_type) AS unknown FROM kinds {group}),
 spans AS (SELECT *, (CAST(substr(hi, 1, 4) AS INT) - CAST(substr(lo, 1, 4) AS INT)) * 12
     + CAST(substr(hi, 6, 2) AS INT) - CAST(substr(lo, 6, 2) AS INT) AS months FROM sums)
 SELECT {keys}records_count, lo AS period_start, hi AS period_end,
@@ -56,8 +61,8 @@ SELECT {keys}records_count, lo AS period_start, hi AS period_end,
   CAST(round(d * 0.010033, 2) AS DOUBLE) AS diesel_mwh,
   CAST(round(e * 0.001 + g * 0.001 + d * 0.010033, 2) AS DOUBLE) AS total_energy_mwh,
   CAST(round(s1, 2) AS DOUBLE) AS scope1_tco2eq, CAST(round(s2, 2) AS DOUBLE) AS scope2_tco2eq,
-  {_SPAN} AS warnings{extra}
-FROM spans"""
+  concat_ws('; ', unknown, nullif({_SPAN}, '')) AS warnings{extra}
+FROM spans {f"LEFT JOIN outside USING ({by})" if by else ", outside"}"""
 
 
 _ORDER = "{'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey, 'd': l_shipdate, 'e': l_extendedprice}"
@@ -314,7 +319,8 @@ FROM lines WHERE energy_type IN ('Fernwaerme', 'Dampf') GROUP BY site, energy_ty
 SELECT site, lo AS period_start, hi AS period_end,
   date_diff('month', CAST(lo || '-01' AS DATE), CAST(hi || '-01' AS DATE)) AS months FROM r""",
     "b3_span_warning": f"WITH {_LINES}, report AS (WITH {_b3('lines', 'site')}) "
-                       "SELECT site, warnings AS warning FROM report WHERE warnings <> ''",
+                       "SELECT site, 'Data spans' || split_part(warnings, 'Data spans', 2) AS warning FROM report "
+                       "WHERE contains(warnings, 'Data spans')",
     "invoice_records": f"WITH {_RECORDS} SELECT * REPLACE (round(emissions_tco2, 6) AS emissions_tco2) FROM records",
     "invoice_records_per_line": f"""WITH {_LINES}
 SELECT l_orderkey AS invoice_id, sum(l_quantity) AS consumption_kwh, arg_min(energy_type, {_ORDER}) AS energy_type,
@@ -328,7 +334,8 @@ SELECT energy_type, CAST({_factor('energy_type')} AS DOUBLE) AS emission_factor_
 FROM lines GROUP BY energy_type""",
     "record_content": f"WITH {_RECORDS} SELECT filename, {_CONTENT} AS content FROM records",
     "record_summary": f"""WITH {_RECORDS}
-SELECT filename, coalesce(energy_type, '?') AS energy_type, consumption_kwh, consumption_unit,
+SELECT filename, coalesce(energy_type, '?') AS energy_type, consumption_kwh,
+  format('{{:,}}', CAST(round_even(consumption_kwh, 0) AS BIGINT)) AS consumption_text, consumption_unit,
   CASE WHEN coalesce(total_eur, 0) = 0 THEN '?' ELSE {_float('total_eur')} END AS total_text,
   CASE WHEN coalesce(consumption_kwh, 0) = 0 OR emission_factor_value IS NULL THEN 'n/a'
     ELSE printf('%.3f', coalesce(emissions_tco2, 0)) || ' tCO2e' END AS emissions_text
@@ -398,6 +405,23 @@ SELECT DISTINCT file, CASE WHEN has_header THEN 9 ELSE 6 END AS min_cells, 0 AS
 SELECT 'SAP-export_' || lower(n_name) || '-R' || n AS invoice_number, n_name AS site, period, energy_type,
   round(CAST(kwh AS DOUBLE), 4) AS consumption_kwh, unit, CAST(cost AS DOUBLE) AS total_eur, 'EUR' AS currency,
   CASE WHEN has_header THEN 'M-' || o_orderkey END AS meter_id FROM good""",
+    "sap_raw_text": f"""WITH {_EXPORTS}, cells AS (
+  SELECT *, CASE CASE WHEN has_header THEN o_orderkey % 8 ELSE o_orderkey % 4 END
+      WHEN 0 THEN strftime(o_orderdate, '%Y-%m') WHEN 1 THEN strftime(o_orderdate, '%m.%Y')
+      WHEN 2 THEN strftime(o_orderdate, '%Y%m') WHEN 3 THEN 'P' || strftime(o_orderdate, '%m/%Y')
+      WHEN 4 THEN strftime(o_orderdate, '%m/%Y')
+      WHEN 5 THEN ['Januar', 'Februar', 'März', 'April', 'Mai', 'Juni', 'Juli', 'August', 'September', 'Oktober',
+        'November', 'Dezember'][month(o_orderdate)] || ' ' || year(o_orderdate)
+      WHEN 6 THEN strftime(o_orderdate, '%B %Y') ELSE ' ' || strftime(o_orderdate, '%Y-%m') || ' ' END AS period_cell,
+    CASE p_type WHEN 'ECONOMY' THEN 'Strom' WHEN 'LARGE' THEN 'Electricity' WHEN 'STANDARD' THEN 'Erdgas'
+      WHEN 'PROMO' THEN 'Diesel' WHEN 'SMALL' THEN 'Fernwaerme'
+      ELSE CASE WHEN has_header THEN 'Dampf' ELSE 'Fernwaerme' END END AS label,
+    CASE WHEN english THEN CAST(amount AS VARCHAR) ELSE replace(CAST(amount AS VARCHAR), '.', ',') END AS amount_cell,
+    CASE WHEN english THEN CAST(cost AS VARCHAR) ELSE replace(CAST(cost AS VARCHAR), '.', ',') END AS cost_cell,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'Hauptzähler' || CASE n_nationkey % 3 WHEN 0 THEN ';' WHEN 1 THEN ',' ELSE chr(9) END
+      || ' "Nord"' ELSE 'Hauptzähler Süd' END AS remark FROM good)
+SELECT file || ':row_' || n AS blob_name, md5(concat_ws(';', n_name, period_cell, label, amount_cell, unit, cost_cell,
+  'EUR', 'M-' || o_orderkey, remark)) AS raw_digest FROM cells""",
     "sap_row_ids": f"""WITH {_EXPORTS}
 SELECT file AS filename, file || ':row_' || n AS blob_name, sha256(file || ':row_' || n) AS row_hash,
   'SAP-export_' || lower(n_name) || '-R' || n AS invoice_number FROM good""",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ghgspark import functions as G
+from ghgspark.constants import MAX_DOCUMENT_BYTES
 from ghgspark.functions.embedding import hashed_terms
 from ghgspark.operators import compare, context, enrich, index, invoices, nearest, profile, report
 from ghgspark.operators.tabular import Export
@@ -70,7 +71,7 @@ def b3_period_range(spark, sf):
 @query
 def b3_span_warning(spark, sf):
     full = report.report(A.line_records(spark, sf), by=["site"])
-    return full.select("site", F.explode("warnings").alias("warning"))
+    return full.select("site", F.explode("warnings").alias("warning")).where("warning like 'Data spans%'")
 
 
 # --- enrichment ----------------------------------------------------------------------------
@@ -367,7 +368,7 @@ def admission(spark, sf):
     requested = stored.select("file").unionByName(
         A.table(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("file"))
     )
-    return L.admit(stored, requested)
+    return L.admit(stored, requested, MAX_DOCUMENT_BYTES)
 
 
 @query
@@ -402,7 +403,7 @@ def _document_records(spark, sf, site: str) -> DataFrame:
 
 
 def _upserted(spark, sf) -> index.RecordIndex:
-    store = index.RecordIndex(spark, scratch_path(spark, "index"), buckets=8)
+    store = index.RecordIndex(spark, scratch_path(spark, "index"))
     store.upsert(index.index_documents(_document_records(spark, sf, "")))
     store.upsert(index.index_documents(_document_records(spark, sf, "relabelled")))
     return store
@@ -425,7 +426,7 @@ def index_status(spark, sf):
 
 @query
 def index_reset(spark, sf):
-    store = index.RecordIndex(spark, scratch_path(spark, "index"), buckets=8)
+    store = index.RecordIndex(spark, scratch_path(spark, "index"))
     given = store.upsert(index.index_documents(_document_records(spark, sf, "")))
     store.delete_all()
     return store.health().withColumn("given", F.lit(given).cast("bigint"))
@@ -486,7 +487,7 @@ def context_blocks(spark, sf):
 @query
 def prompts(spark, sf):
     questions, _, hits = _asked(spark, sf)
-    return context.prompts(questions, hits).select("query_id", "user")
+    return context.prompts(questions, hits, "Answer from the context only.").select("query_id", "user")
 
 
 @query

@@ -31,20 +31,15 @@ def build_session(app_name: str = "ghgspark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which the driver and every executor reach.
 
-    Only a local session, where one machine is the whole cluster, may fall back to a
-    temporary folder; anywhere else the setting is required.
+    Where it is unset, a session of one machine (tests, trials) gets a folder of its own; a cluster has to set it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not is_local(spark):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="ghgspark-")
     spark.conf.set("spark.checkpoint.dir", root)

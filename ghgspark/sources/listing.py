@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ghgspark.constants import MAX_DOCUMENT_BYTES
-
 LISTING = "file STRING, kind STRING, length BIGINT"
 
 
@@ -33,18 +31,21 @@ def list_inputs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def admit(listing: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+def admit(listing: DataFrame, requested: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
     """``file, kind, length, admitted, error`` for listed and, if given, requested files.
 
-    Documents must be non-empty and at most 10 MB; an empty export has no rows but is no error.
+    Documents must be non-empty; an empty export has no rows but is no error. Documents of any size are admitted
+    unless a caller sets ``max_bytes``; larger ones then get an error.
     """
     is_document = F.col("kind") == "pdf"
     error = F.when(
         is_document & (F.col("length") == 0), F.concat(F.lit("Empty file: "), F.col("file"))
-    ).when(
-        is_document & (F.col("length") > MAX_DOCUMENT_BYTES),
-        F.concat(F.lit("File too large (>10 MB): "), F.col("file")),
     )
+    if max_bytes is not None:
+        error = error.when(
+            is_document & (F.col("length") > max_bytes),
+            F.concat(F.lit(f"File too large (>{max_bytes // 1_000_000} MB): "), F.col("file")),
+        )
     checked = listing.withColumn("error", error).withColumn(
         "admitted", F.col("error").isNull() & (F.col("length") > 0)
     ).select("file", "kind", "length", "admitted", "error")

@@ -3,39 +3,59 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ghgspark.functions import fixed_text, to_double
 from ghgspark.operators.report import has_required_columns
 from ghgspark.schemas import RECORD_COLUMNS
+from ghgspark.session import scratch_path
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "multiLine": False}
 
 
+def _escaped(c: Column) -> Column:
+    """Line ends as two characters each, so that every record is one line and the files can be cut anywhere."""
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def _unescaped(c: Column) -> Column:
+    # Parts of a doubled backslash are put back last, so that they do not start another pair.
+    parts = F.transform(
+        F.split(c, r"\\\\"),
+        lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")),
+    )
+    return F.array_join(parts, "\\")
+
+
 def as_csv_columns(records: DataFrame) -> DataFrame:
     """Record columns as written: no ``content``, numbers with four decimals."""
     columns = []
     for name, kind in RECORD_COLUMNS.items():
         if name != "content":
-            columns.append((fixed_text(F.col(name), 4) if kind == "double" else F.col(name)).alias(name))
+            columns.append((fixed_text(F.col(name), 4) if kind == "double" else _escaped(F.col(name))).alias(name))
     return records.select(*columns)
 
 
-def write_records_csv(records: DataFrame, path: str) -> bool:
-    """Write the records; False, and nothing written, when there are none."""
-    if records.isEmpty():
+def _write_unless_empty(rows: DataFrame, path: str) -> bool:
+    spark = rows.sparkSession
+    staging = scratch_path(spark, "csv")
+    rows.write.parquet(staging)
+    stored = spark.read.schema(rows.schema).parquet(staging)
+    if stored.isEmpty():
         return False
-    as_csv_columns(records).write.mode("overwrite").options(**_CSV).csv(path)
+    stored.write.mode("overwrite").options(**_CSV).csv(path)
     return True
 
 
+def write_records_csv(records: DataFrame, path: str) -> bool:
+    """Write the records; False, and nothing written, when there are none. The plan runs once."""
+    return _write_unless_empty(as_csv_columns(records), path)
+
+
 def write_errors_csv(errors: DataFrame, path: str) -> bool:
-    """Write the error rows; False, and nothing written, when there are none."""
-    if errors.isEmpty():
-        return False
-    errors.write.mode("overwrite").options(**_CSV).csv(path)
-    return True
+    """Write the error rows; False, and nothing written, when there are none. The plan runs once."""
+    return _write_unless_empty(errors.select(*[_escaped(F.col(c)).alias(c) for c in errors.columns]), path)
 
 
 def read_records_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +72,7 @@ def read_records_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("CSV contains no records.")
     return raw.select(
         *[
-            (to_double(F.col(c)) if RECORD_COLUMNS.get(c) == "double" else F.col(c)).alias(c)
+            (to_double(F.col(c)) if RECORD_COLUMNS.get(c) == "double" else _unescaped(F.col(c))).alias(c)
             for c in raw.columns
         ]
     )

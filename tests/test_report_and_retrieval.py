@@ -36,13 +36,21 @@ def test_report(spark):
     row = report.report(frame).first()
     assert (row["total_energy_mwh"], row["scope1_tco2eq"], row["scope2_tco2eq"]) == (874.88, 85.56, 181.94)
     assert (row["records_count"], row["period_start"], row["period_end"]) == (5, "2023-01", "2024-06")
-    assert row["warnings"][0].startswith("Data spans 17 months (2023-01 to 2024-06)")
+    assert row["warnings"][0] == "Unknown energy type 'Dampf' with 5.0 consumption excluded from MWh total"
+    assert row["warnings"][1].startswith("Data spans 17 months (2023-01 to 2024-06)")
     assert report.unknown_types(frame).first()["warning"] == (
         "Unknown energy type 'Dampf' with 5.0 consumption excluded from MWh total")
     values = report.named_values(report.report(frame, turnover=5.0)).collect()
     assert len(values) == 11 and values[0]["value_double"] == 874.88 and values[7]["value_double"] == 5.0
 
 
+def test_report_of_huge_values(spark):
+    frame = records(spark, dict(consumption_kwh=1e21, energy_type="electricity"), dict(consumption_kwh=1e21, energy_type="electricity"))
+    row = report.report(frame).first()
+    assert row["electricity_mwh"] == 2e18 and any("exact range" in w for w in row["warnings"])
+    assert report.totals_by_type(frame).first()["consumption_kwh"] == 2e21
+
+
 def test_report_without_periods(spark):
     row = report.report(records(spark, dict(billing_period_from=" ", billing_period_to=None))).first()
     assert (row["period_start"], row["period_end"]) == ("unknown", "unknown")
@@ -67,7 +75,7 @@ def test_record_csv(spark, tmp_path):
 
 
 def test_index(spark, tmp_path):
-    store = index.RecordIndex(spark, str(tmp_path / "index"), buckets=4)
+    store = index.RecordIndex(spark, str(tmp_path / "index"))
     assert store.count() == 0
     first = records(spark, *[dict(pdf_hash=f"h{i}", content=f"text {i}", site=None) for i in range(20)])
     assert store.upsert(index.index_documents(first)) == 20
@@ -144,7 +152,7 @@ def test_context(spark):
     hits = hits_frame(spark, hit(1, "diesel", "2024-01", 1.0, 1.0, 1.0, "A"), hit(2, "diesel", "2024-02", 1.0, 1.0, 1.0, "B"),
                       hit(3, "gas", "2024-01", 1.0, 1.0, 1.0, "A"))
     questions = spark.createDataFrame([(1, "How much?"), (2, "None?")], "query_id int, question string")
-    user = context.prompts(questions, hits).first()["user"]
+    user = context.prompts(questions, hits, "Be brief.").first()["user"]
     assert user.startswith("CONTEXT:\n=== DOCUMENT 1 ===\nSource: A\nSite: Site\nPeriod: 2024-01 to 2024-01\nEnergy type: diesel\n---\ntext\n"
                            "==================\n\n=== DOCUMENT 2 ===")
     assert "=== COMPUTED ANALYTICS ===" in user and user.endswith("\n\nQUESTION: How much?")
@@ -193,7 +201,7 @@ def test_parse_ask_report(spark, tmp_path):
     documents = spark.createDataFrame(
         [("d.pdf", "h1", "V\nInvoice number: N1\n1 M-1 Diesel 2024-01-01 2024-01-31 1,000 1.0 9.00\nTotal: 9.00"), ("r.pdf", "h2", "report")],
         "filename string, file_hash string, text string")
-    store = index.RecordIndex(spark, str(tmp_path / "index"), buckets=2)
+    store = index.RecordIndex(spark, str(tmp_path / "index"))
     result = jobs.parse(spark, str(folder), str(tmp_path / "out"), documents, store=store)
     assert result.counters.first().asDict() == {"total_files": 2, "pdf_files": 2, "csv_files": 1, "successful": 3, "failed": 1}
     assert store.count() == 3
@@ -208,7 +216,7 @@ def test_stream_into_index(spark, tmp_path):
     source = tmp_path / "docs"
     text = "V\nInvoice number: N{0}\n1 M-1 Diesel 2024-01-01 2024-01-31 1,000 1.0 9.00\nTotal: 9.00"
     schema = "filename string, file_hash string, text string"
-    store = index.RecordIndex(spark, str(tmp_path / "index"), buckets=2)
+    store = index.RecordIndex(spark, str(tmp_path / "index"))
     for batch in ([1, 2], [2, 3]):
         spark.createDataFrame([(f"{i}.pdf", f"h{i}", text.format(i)) for i in batch], schema).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).parquet(str(source))

@@ -184,18 +184,26 @@ def record_summary(records: DataFrame) -> DataFrame:
     )
 
 
-def run_counters(listing: DataFrame, records: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row: files by kind, records and failures. ``total_files`` counts documents only."""
+def run_counters(
+    listing: DataFrame, records: DataFrame, errors: DataFrame, skipped: DataFrame | None = None
+) -> DataFrame:
+    """One row: files by kind, records, failures and, if given, skipped export rows.
+
+    ``total_files`` counts documents only; ``skipped`` has ``skipped_rows`` per file.
+    """
     files = listing.agg(
         F.count_if(F.col("kind") == "pdf").alias("pdf_files"), F.count_if(F.col("kind") == "csv").alias("csv_files")
     )
     good = records.agg(F.count("*").alias("successful"))
     bad = errors.agg(F.count("*").alias("failed"))
     one = F.lit(1).alias("one")
-    # Three one-row frames side by side.
-    return (
+    # One-row frames side by side.
+    counters = (
         files.select(one, F.col("pdf_files").alias("total_files"), "pdf_files", "csv_files")
         .join(good.select(one, "successful"), "one")
         .join(bad.select(one, "failed"), "one")
-        .drop("one")
     )
+    if skipped is not None:
+        total = skipped.agg(F.coalesce(F.sum("skipped_rows"), F.lit(0)).alias("skipped_rows"))
+        counters = counters.join(total.select(one, "skipped_rows"), "one")
+    return counters.drop("one")

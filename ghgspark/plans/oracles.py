@@ -522,3 +522,23 @@ ORACLES["clean_number"] = """SELECT l_returnflag, CAST(sum(CASE WHEN l_returnfla
   CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS total,
   count(*) FILTER (WHERE l_returnflag <> 'A') AS parsed FROM lineitem GROUP BY l_returnflag"""
 ORACLES["errors_csv"] = ORACLES["invoice_rejects"]
+ORACLES["records_copy"] = ORACLES["records_csv_roundtrip"]
+ORACLES["factor_file"] = f"""WITH {_LINES}
+SELECT energy_type, CASE energy_type WHEN 'electricity' THEN 0.00038::DOUBLE WHEN 'Fernwaerme' THEN 0.00028::DOUBLE END
+  AS emission_factor_value, count(*) AS lines FROM lines GROUP BY energy_type"""
+ORACLES["index_reopen"] = "SELECT sha256(text) AS id, max(length(text)) AS chars FROM documents GROUP BY text"
+ORACLES["knn_with_bad_vectors"] = _knn("q.vec_id % 10 = 0 AND x.vec_id % 10 NOT IN (3, 7)")
+ORACLES["knn_empty"] = "SELECT count(*) AS hits FROM embeddings WHERE label = -1"
+ORACLES["sources"] = f"""WITH {_hits()}
+SELECT query_id, CAST(rank AS INT) AS rank, filename, site, energy_type, round(d * d, 4) AS distance FROM metas"""
+ORACLES["parse_accounting"] = """WITH listed AS (
+  SELECT 'doc-' || doc_id || '.pdf' AS file, CAST(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE strlen(text) END AS BIGINT) AS length,
+    doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND trim(text) <> '' AS told
+  FROM documents WHERE doc_id % 5 <> 0
+  UNION ALL SELECT 'page-' || page_id || '.pdf', CAST(strlen(html) AS BIGINT), false FROM pages)
+SELECT file, 'pdf' AS kind, length, length > 0 AND told AS admitted,
+  CASE WHEN length = 0 THEN 'Empty file: ' || file WHEN NOT told THEN 'No text extracted from PDF' END AS error
+FROM listed
+UNION ALL
+SELECT 'doc-' || doc_id || '.pdf', 'pdf', NULL, false, 'File not found: doc-' || doc_id || '.pdf'
+FROM documents WHERE doc_id % 5 = 0 AND doc_id % 3 <> 0"""

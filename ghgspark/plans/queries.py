@@ -16,7 +16,7 @@ from ghgspark.plans import adapters as A
 from ghgspark.session import scratch_path
 from ghgspark.sources import listing as L
 from ghgspark.sources import records as R
-from ghgspark.sources.factors import default_factors
+from ghgspark.sources.factors import default_factors, load_factors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -371,6 +371,41 @@ def admission(spark, sf):
     return L.admit(stored, requested, MAX_DOCUMENT_BYTES)
 
 
+@query
+def parse_accounting(spark, sf):
+    """Files of documents (some missing, some without a byte, some without text) and of pages (all without text)."""
+    documents, pages = A.table(spark, sf, "documents"), A.table(spark, sf, "pages")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    listed = documents.where("doc_id % 5 <> 0").select(
+        name.alias("file"), F.lit("pdf").alias("kind"), F.expr("bigint(if(doc_id % 7 = 0, 0, octet_length(text)))").alias("length"),
+    ).unionByName(pages.select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("file"), F.lit("pdf").alias("kind"),
+        F.octet_length("html").cast("bigint").alias("length")))
+    told = documents.where("doc_id % 3 <> 0").select(
+        name.alias("filename"), F.expr("if(doc_id % 4 = 0, ' \\n', text)").alias("text"))
+    return L.account(listed, told)
+
+
+@query
+def records_copy(spark, sf):
+    source, target = scratch_path(spark, "records"), scratch_path(spark, "copy")
+    R.write_records_csv(A.invoice_records(spark, sf), source)
+    R.copy_records(spark, source, target, "parquet")
+    return spark.read.parquet(target).drop("pdf_hash", "vendor_name")
+
+
+@query
+def factor_file(spark, sf):
+    """A factor file that brings a type of its own beside a built-in one."""
+    path = scratch_path(spark, "factors")
+    entries = ('{"electricity": {"value": 0.00038, "unit": "t/kWh", "source": "a", "year": 2024}, '
+               '"heat": {"value": 0.00028, "unit": "t/kWh", "source": "b", "year": 2024, "energy_type": "Fernwaerme"}}')
+    spark.range(1).select(F.lit(entries).alias("value")).coalesce(1).write.text(path)
+    named = load_factors(spark, path).withColumn("energy_type", F.expr("if(name = 'electricity', 'electricity', energy_type)"))
+    lines = enrich.with_factor(A.billing_lines(spark, sf), named)
+    return lines.groupBy("energy_type", "emission_factor_value").agg(F.count("*").alias("lines"))
+
+
 @query
 def records_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "records")
@@ -432,6 +467,16 @@ def index_reset(spark, sf):
     return store.health().withColumn("given", F.lit(given).cast("bigint"))
 
 
+@query
+def index_reopen(spark, sf):
+    path = scratch_path(spark, "index")
+    index.RecordIndex(spark, path).upsert(index.index_documents(_document_records(spark, sf, "")))
+    store = index.RecordIndex(spark, path)
+    store.upsert(index.index_documents(_document_records(spark, sf, "")))
+    store.compact()
+    return store.documents().select("id", F.char_length("document").cast("bigint").alias("chars"))
+
+
 @query
 def embed_default(spark, sf):
     turns = hashed_terms(A.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text")
@@ -464,6 +509,21 @@ def knn_cosine(spark, sf):
     return _rounded(nearest.top_k(_vectors(spark, sf, "id"), _vectors(spark, sf, "query_id"), k=3, metric="cosine"))
 
 
+@query
+def knn_with_bad_vectors(spark, sf):
+    """Some stored vectors are null, some hold NaN: the others are found as before."""
+    spoilt = F.expr("CASE vec_id % 10 WHEN 3 THEN transform(embedding, (x, i) -> if(i = 5, float('nan'), x)) "
+                    "WHEN 7 THEN null ELSE embedding END")
+    stored = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), spoilt.alias("embedding"))
+    return _rounded(nearest.top_k(stored, _vectors(spark, sf, "query_id").where("query_id % 10 = 0")))
+
+
+@query
+def knn_empty(spark, sf):
+    hits = nearest.top_k(_vectors(spark, sf, "id", "label"), _vectors(spark, sf, "query_id"), filters={"label": -1})
+    return hits.agg(F.count("*").alias("hits"))
+
+
 def _asked(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions, index and hits of all user turns over all invoice records."""
     questions = A.user_questions(spark, sf)
@@ -490,6 +550,11 @@ def prompts(spark, sf):
     return context.prompts(questions, hits, "Answer from the context only.").select("query_id", "user")
 
 
+@query
+def sources(spark, sf):
+    return context.sources(_asked(spark, sf)[2]).withColumn("distance", F.round("distance", 4))
+
+
 @query
 def sources_distinct(spark, sf):
     return context.distinct_sources(_asked(spark, sf)[2])

@@ -14,7 +14,7 @@ from ghgspark.schemas import FACTORS
 
 logger = logging.getLogger(__name__)
 
-_ENTRY = "struct<value:double,unit:string,source:string,year:int,note:string>"
+_ENTRY = "struct<value:double,unit:string,source:string,year:int,note:string,energy_type:string>"
 
 
 def default_factors(spark: SparkSession) -> DataFrame:
@@ -34,7 +34,8 @@ def load_factors(spark: SparkSession, path: str) -> DataFrame:
     """Factors of a JSON object of name to entry.
 
     A missing file, malformed JSON or an entry without value, unit, source or year gives an
-    empty set. ``note`` defaults to ''.
+    empty set. ``note`` defaults to ''. An entry may name its ``energy_type``, so that new types come with
+    the file; without it the built-in names have theirs.
     """
     try:
         documents = spark.read.text(path, wholetext=True)
@@ -56,7 +57,7 @@ def load_factors(spark: SparkSession, path: str) -> DataFrame:
         .select(F.explode("entries").alias("name", "entry"))
         .select(
             "name",
-            F.try_element_at(type_of, F.col("name")).alias("energy_type"),
+            F.coalesce("entry.energy_type", F.try_element_at(type_of, F.col("name"))).alias("energy_type"),
             "entry.value", "entry.unit", "entry.source", "entry.year",
             F.coalesce("entry.note", F.lit("")).alias("note"),
         )

@@ -61,6 +61,24 @@ def admit(listing: DataFrame, requested: DataFrame | None = None, max_bytes: int
     return checked.unionByName(missing)
 
 
+def account(listing: DataFrame, documents: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """:func:`admit` for a listing and the extracted ``documents`` (``filename, text``), with nothing left out.
+
+    Besides the admission checks, a document file without any extracted text (no row, null or blank) is an error, and
+    so is a row whose file is not listed (missing, or without a byte, which Spark's listing leaves out).
+    """
+    names = documents.select(F.col("filename").alias("file")).distinct()
+    checked = admit(listing, names, max_bytes)
+    readable = documents.where(F.trim(F.regexp_replace("text", r"(?U)\s", "")) != "").select(
+        F.col("filename").alias("file"), F.lit(True).alias("_readable")).distinct()
+    lacking = (F.col("kind") == "pdf") & F.col("admitted") & F.col("_readable").isNull()
+    return checked.join(readable, "file", "left").select(
+        "file", "kind", "length",
+        (F.col("admitted") & ~lacking).alias("admitted"),
+        F.when(lacking, F.lit("No text extracted from PDF")).otherwise(F.col("error")).alias("error"),
+    )
+
+
 def file_hashes(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """``file, file_hash``: SHA-256 of each file's bytes."""
     return (

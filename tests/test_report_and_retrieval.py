@@ -188,7 +188,8 @@ def test_admission(spark, tmp_path):
     assert [(r["admitted"], r["error"]) for r in listing.admit(empty).orderBy("file").collect()] == [
         (False, "Empty file: x.pdf"), (False, None)]
     big = spark.createDataFrame([("x.pdf", "pdf", 10_000_001)], listing.LISTING)
-    assert listing.admit(big).first()["error"] == "File too large (>10 MB): x.pdf"
+    assert listing.admit(big, max_bytes=10_000_000).first()["error"] == "File too large (>10 MB): x.pdf"
+    assert listing.admit(big).first()["admitted"]
     assert len(listing.file_hashes(spark, str(tmp_path)).collect()) == 1
 
 
@@ -203,10 +204,10 @@ def test_parse_ask_report(spark, tmp_path):
         "filename string, file_hash string, text string")
     store = index.RecordIndex(spark, str(tmp_path / "index"))
     result = jobs.parse(spark, str(folder), str(tmp_path / "out"), documents, store=store)
-    assert result.counters.first().asDict() == {"total_files": 2, "pdf_files": 2, "csv_files": 1, "successful": 3, "failed": 1}
+    assert result.counters.first().asDict() == {"total_files": 2, "pdf_files": 2, "csv_files": 1, "successful": 3, "failed": 1, "skipped_rows": 0}
     assert store.count() == 3
     questions = spark.createDataFrame([("q", "electricity in Essen 2024-02")], "query_id string, question string")
-    answers = jobs.ask(questions, store.documents(), k=2)
+    answers = jobs.ask(questions, store.documents(), "Be brief.", k=2)
     assert answers.statuses.first()["status"] == "ok" and answers.sources.count() == 2 and "QUESTION" in answers.prompts.first()["user"]
     row, values = jobs.export_report(spark, result.records_path)
     assert row.first()["total_energy_mwh"] == 160.03 and values.count() == 10
@@ -223,3 +224,46 @@ def test_stream_into_index(spark, tmp_path):
         index_stream(stream, default_factors(spark), store, str(tmp_path / "check")).awaitTermination()
     assert sorted(r["id"] for r in store.documents().select("id").collect()) == ["h1", "h2", "h3"]
     assert store.documents().where(F.col("metadata.energy_type") == "diesel").count() == 3
+
+
+def test_parse_accounts_for_every_document(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, raw in (("a.pdf", b"x"), ("empty.pdf", b""), ("blank.pdf", b"y"), ("untold.pdf", b"z")):
+        (folder / name).write_bytes(raw)
+    text = "V\nInvoice number: N1\n1 M-1 Diesel 2024-01-01 2024-01-31 1,000 1.0 9.00\nTotal: 9.00"
+    documents = spark.createDataFrame(
+        [("a.pdf", "h1", text), ("empty.pdf", "h2", text), ("blank.pdf", "h3", " \u00a0\n"), ("absent.pdf", "h4", text)],
+        "filename string, file_hash string, text string")
+    result = jobs.parse(spark, str(folder), str(tmp_path / "out"), documents)
+    messages = {r["filename"]: r["message"].split(":")[0] for r in result.errors.collect()}
+    assert messages == {"empty.pdf": "File not found", "absent.pdf": "File not found", "blank.pdf": "No text extracted from PDF",
+                        "untold.pdf": "No text extracted from PDF"}
+    counters = result.counters.first()
+    assert counters["successful"] + counters["failed"] == counters["total_files"] == 5
+
+
+def test_vectors_that_are_no_numbers(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(20, [float("nan"), 1.0]), (21, None), (22, [None, 1.0]), (23, [float("inf"), 0.0])]
+    stored = spark.createDataFrame(rows, "id long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([("q", [3.0, 1.0]), ("bad", [float("nan"), 0.0])], "query_id string, embedding array<float>")
+    assert [r["id"] for r in nearest.top_k(stored, asked, 3).orderBy("rank").collect()] == [3, 2, 4]
+    assert {r["id"]: r["reason"] for r in nearest.unusable(stored).collect()} == {20: "not finite", 21: "no vector", 22: "not finite", 23: "not finite"}
+
+
+def test_index_reopened_and_compacted(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = records(spark, *[dict(pdf_hash=f"h{i}", content=f"text {i}") for i in range(10)])
+    index.RecordIndex(spark, path).upsert(index.index_documents(rows))
+    store = index.RecordIndex(spark, path)
+    store.upsert(index.index_documents(rows))
+    before = {r["id"] for r in store.documents().collect()}
+    store.compact()
+    assert store.documents().count() == 10 == store.count() and {r["id"] for r in store.documents().collect()} == before
+
+
+def test_record_csv_keeps_line_ends(spark, tmp_path):
+    odd = 'a\nb\r\\n "q", \\'
+    path = str(tmp_path / "r")
+    sinks.write_records_csv(records(spark, dict(energy_type=odd), dict(energy_type=None)), path)
+    assert sorted(str(r["energy_type"]) for r in sinks.read_records_csv(spark, path).collect()) == sorted([odd, "None"])

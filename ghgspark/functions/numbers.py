@@ -41,12 +41,17 @@ def locale_number(c: Column, number_format: Column | str, strict_locale: bool =
 
 def number_format_of(cells: Column) -> Column:
     """Number format told by the first cell that decides; German when none does."""
+    return F.coalesce(number_vote(cells), F.lit(GERMAN))
+
+
+def number_vote(cells: Column) -> Column:
+    """Number format told by the first cell that decides, null when none does."""
     compact = F.transform(cells, lambda c: F.replace(strip(c), F.lit(" "), F.lit("")))
     votes = F.transform(
         compact,
         lambda c: F.when(c.rlike(r"^[\d.,]*,\d*$"), GERMAN).when(c.rlike(r"^[\d.]*\.\d{0,2}$"), ENGLISH),
     )
-    return F.coalesce(F.try_element_at(F.filter(votes, lambda v: v.isNotNull()), F.lit(1)), F.lit(GERMAN))
+    return F.try_element_at(F.filter(votes, lambda v: v.isNotNull()), F.lit(1))
 
 
 def to_double(c: Column) -> Column:

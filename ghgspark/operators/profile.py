@@ -3,7 +3,10 @@
 A *lines* frame has one row per physical line: ``file``, ``block`` (a bounded stretch of the
 file), ``pos`` (order inside the block) and ``value`` (the bytes as read). Nothing below groups
 a whole file: full scans aggregate by (file, block) with partial aggregation, and only the
-few lines at the head of each file are brought together.
+lines of the blocks that hold a file's first two rows are brought together.
+
+Delimiter and number format are voted by all lines of a file. ``sample=True`` decides them as
+spreadsheet importers do, from the file's first characters and its first data row.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from ghgspark.constants import (
     PERIOD_CELL_PATTERN,
     UNIT_CELL_VALUES,
 )
-from ghgspark.functions import header_key, locale_number, number_format_of, strip
+from ghgspark.functions import header_key, locale_number, number_format_of, number_vote, strip
+from ghgspark.functions.numbers import ENGLISH, GERMAN
 
 UTF8, CP1252, LATIN1 = "utf-8-sig", "cp1252", "iso-8859-1"
 FIELDS = tuple(EXPORT_HEADER_WORDS)
@@ -107,16 +111,39 @@ def _rows_column(delimiter: str) -> str:
     return f"rows_{DELIMITERS.index(delimiter)}"
 
 
+def _most_frequent(text: Column) -> Column:
+    """The delimiter that a line has most of (ties go to the earlier one), null without any."""
+    counts = {d: F.char_length(text) - F.char_length(F.replace(text, F.lit(d), F.lit(""))) for d in DELIMITERS}
+    best = F.greatest(*counts.values())
+    pick = F
+    for d, count in counts.items():
+        pick = pick.when((count == best) & (best > 0), d)
+    return pick
+
+
+def _vote_columns() -> list[str]:
+    return [f"{what}_{n}" for n in range(len(DELIMITERS)) for what in ("votes", GERMAN, ENGLISH)]
+
+
 def block_profile(lines: DataFrame) -> DataFrame:
-    """One row per (file, block): encoding evidence, length, rows under each delimiter."""
+    """One row per (file, block): encoding evidence, length, rows under each delimiter, votes of the lines."""
     value = F.col("value")
     valid = F.is_valid_utf8(value)
     undefined = F.when(value.rlike(r"[^\x00-\x7f]"), _latin1(value).rlike(f"[{_UNDEFINED}]"))
     text = F.when(valid, value).otherwise(_cp1252(value))
-    return lines.groupBy("file", "block").agg(
+    voted = lines.withColumn("_text", text).withColumn("_delimiter", _most_frequent(F.col("_text"))).withColumn(
+        "_format", number_vote(split_cells(F.col("_text"), F.col("_delimiter"))))
+    votes = [
+        x for n, d in enumerate(DELIMITERS) for x in (
+            F.count_if(F.col("_delimiter") == d).alias(f"votes_{n}"),
+            *[F.count_if((F.col("_delimiter") == d) & (F.col("_format") == kind)).alias(f"{kind}_{n}")
+              for kind in (GERMAN, ENGLISH)])
+    ]
+    return voted.groupBy("file", "block").agg(
+        *votes,
         F.bool_and(valid).alias("utf8"),
         F.bool_or(F.coalesce(undefined, F.lit(False))).alias("undefined"),
-        F.sum(F.char_length(text) + 1).alias("chars"),
+        F.sum(F.char_length("_text") + 1).alias("chars"),
         *[F.count_if(has_cell_text(value, d)).alias(_rows_column(d)) for d in DELIMITERS],
     )
 
@@ -134,21 +161,37 @@ def file_encoding(lines: DataFrame) -> DataFrame:
     )
 
 
-def _head_blocks(blocks: DataFrame) -> DataFrame:
-    """The blocks that hold a file's delimiter sample and its first two rows."""
+def _voted(total) -> tuple[Column, Column]:
+    """Delimiter and number format of a file; ``total`` adds a vote column up over its blocks."""
+    votes = [total(f"votes_{n}") for n in range(len(DELIMITERS))]
+    best = F.greatest(*votes)
+    delimiter, fmt = F.when(best == 0, DEFAULT_DELIMITER), F.when(best == 0, GERMAN)
+    for n, d in enumerate(DELIMITERS):
+        delimiter = delimiter.when(votes[n] == best, d)
+        fmt = fmt.when((votes[n] == best) & (total(f"{ENGLISH}_{n}") > total(f"{GERMAN}_{n}")), ENGLISH).when(
+            votes[n] == best, GERMAN)
+    return delimiter, fmt
+
+
+def _head_blocks(blocks: DataFrame, sample: bool) -> DataFrame:
+    """The blocks that hold a file's first two rows (and, with ``sample``, its delimiter sample)."""
     whole = W.partitionBy("file")
     before = whole.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     rows = F.least(*[F.col(_rows_column(d)) for d in DELIMITERS])
+    delimiter, fmt = _voted(lambda name: F.sum(name).over(whole))
+    sampled = F.col("chars_before") < DELIMITER_SAMPLE_CHARS if sample else F.lit(False)
     return (
         blocks.select(
             "file",
             "block",
+            delimiter.alias("voted_delimiter"),
+            fmt.alias("voted_format"),
             _encoding(F.bool_and("utf8").over(whole), F.bool_or("undefined").over(whole)).alias("encoding"),
             F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"),
             F.coalesce(F.sum(rows).over(before), F.lit(0)).alias("rows_before"),
         )
-        .where((F.col("chars_before") < DELIMITER_SAMPLE_CHARS) | (F.col("rows_before") < 2))
-        .select("file", "block", "encoding")
+        .where(sampled | (F.col("rows_before") < 2))
+        .select("file", "block", "encoding", "voted_delimiter", "voted_format")
     )
 
 
@@ -160,19 +203,8 @@ def _pick_delimiter(lowest: dict[str, Column]) -> Column:
     return pick
 
 
-def head_rows(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``file, encoding, delimiter, row1, row2``: the first two non-blank rows of each file."""
-    heads = _head_blocks(blocks)
-    whole = W.partitionBy("file")
-    ordered = whole.orderBy("block", "pos")
-    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
-
-    # The scalar bound drops all other blocks in the scan, so the join sees head lines only.
-    last_head = heads.agg(F.max("block").alias("last")).scalar()
-    text = lines.where(F.col("block") <= last_head).join(heads, ["file", "block"]).select(
-        "file", "block", "pos", "value", "encoding", decode_line(F.col("value"), F.col("encoding")).alias("text")
-    )
+def _sampled_delimiter(text: DataFrame, upto, before, whole) -> DataFrame:
+    """Add ``delimiter`` as the first lines within the sample tell it."""
     start = F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0))
     room = F.greatest(F.lit(DELIMITER_SAMPLE_CHARS) - start, F.lit(0)).cast("int")
     sampled = text.withColumn("sample", F.substr("text", F.lit(1), room))
@@ -186,7 +218,26 @@ def head_rows(lines: DataFrame, blocks: DataFrame) -> DataFrame:
         ).over(whole)
         for d in DELIMITERS
     }
-    delimited = sampled.withColumn("delimiter", _pick_delimiter(lowest))
+    return sampled.withColumn("delimiter", _pick_delimiter(lowest))
+
+
+def head_rows(lines: DataFrame, blocks: DataFrame, sample: bool = False) -> DataFrame:
+    """``file, encoding, delimiter, voted_format, row1, row2``: the first two non-blank rows of each file."""
+    heads = _head_blocks(blocks, sample)
+    whole = W.partitionBy("file")
+    ordered = whole.orderBy("block", "pos")
+    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = ordered.rowsBetween(W.unboundedPreceding, -1)
+
+    # The scalar bound drops all other blocks in the scan, so the join sees head lines only.
+    last_head = heads.agg(F.max("block").alias("last")).scalar()
+    text = lines.where(F.col("block") <= last_head).join(heads, ["file", "block"]).select(
+        "file", "block", "pos", "value", "encoding", "voted_delimiter", "voted_format", decode_line(F.col("value"), F.col("encoding")).alias("text")
+    )
+    if sample:
+        delimited = _sampled_delimiter(text, upto, before, whole)
+    else:
+        delimited = text.withColumn("delimiter", F.col("voted_delimiter"))
     is_row = reduce(
         lambda case, d: case.when(F.col("delimiter") == d, has_cell_text(F.col("value"), d)), DELIMITERS, F
     )
@@ -195,7 +246,7 @@ def head_rows(lines: DataFrame, blocks: DataFrame) -> DataFrame:
         delimited.withColumn("is_row", is_row)
         .withColumn("row_no", row_no)
         .withColumn("cells", F.when(F.col("is_row") & (F.col("row_no") <= 2), split_cells(F.col("text"), F.col("delimiter"))))
-        .groupBy("file", "encoding", "delimiter")
+        .groupBy("file", "encoding", "delimiter", "voted_format")
         .agg(*[F.max(F.when(F.col("row_no") == n, F.col("cells"))).alias(f"row{n}") for n in (1, 2)])
     )
 
@@ -267,14 +318,14 @@ def inferred_columns(row: DataFrame) -> DataFrame:
 _INFERABLE = ("unit", "energy_type", "period", "site", "energy_amount", "total_eur")
 
 
-def file_profile(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+def file_profile(lines: DataFrame, blocks: DataFrame | None = None, sample: bool = False) -> DataFrame:
     """One row per file that has any row: how to read it, or why it cannot be read.
 
     Columns: ``file, encoding, delimiter, has_header, number_format, columns (struct of
     zero-based indexes), min_cells, error``.
     """
     blocks = block_profile(lines) if blocks is None else blocks
-    rows = head_rows(lines, blocks).where(F.col("row1").isNotNull())
+    rows = head_rows(lines, blocks, sample).where(F.col("row1").isNotNull())
     rows = inferred_columns(rows.withColumn("has_header", is_header(F.col("row1"))))
     header = header_columns(F.col("row1"))
     columns = {
@@ -290,7 +341,8 @@ def file_profile(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame
         "encoding",
         "delimiter",
         "has_header",
-        number_format_of(F.coalesce(first_data, F.array().cast("array<string>"))).alias("number_format"),
+        (number_format_of(F.coalesce(first_data, F.array().cast("array<string>"))) if sample
+         else F.col("voted_format")).alias("number_format"),
         F.struct(*[c.alias(f) for f, c in columns.items()]).alias("columns"),
         F.when(
             ~F.col("has_header") & (found < MIN_INFERRED_FIELDS),
@@ -311,5 +363,5 @@ def block_offsets(blocks: DataFrame, files: DataFrame) -> DataFrame:
     return (
         blocks.join(files, "file")
         .withColumn("rows_before", F.coalesce(F.sum(rows).over(before), F.lit(0)))
-        .drop("utf8", "undefined", "chars", *[_rows_column(d) for d in DELIMITERS])
+        .drop("utf8", "undefined", "chars", *_vote_columns(), *[_rows_column(d) for d in DELIMITERS])
     )

@@ -131,11 +131,11 @@ def parse_rows(rows: DataFrame, strict_locale: bool = False) -> DataFrame:
 class Export:
     """A lines frame with its profiles; every view below shares them."""
 
-    def __init__(self, lines: DataFrame):
+    def __init__(self, lines: DataFrame, sample: bool = False):
         self.lines = lines
         # Small next to the lines: a few numbers per block, used by three steps.
         self.blocks = profile.block_profile(lines).persist(StorageLevel.MEMORY_AND_DISK)
-        self.files = profile.file_profile(lines, self.blocks)
+        self.files = profile.file_profile(lines, self.blocks, sample)
 
     def rows(self) -> DataFrame:
         return numbered_rows(self.lines, self.blocks, self.files)

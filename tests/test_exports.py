@@ -111,3 +111,17 @@ def test_records(spark, export):
     assert records["SAP-essen-R1"]["emissions_tco2"] == pytest.approx(181.944)
     assert records["SAP-essen-R3"]["emissions_tco2"] == pytest.approx(22.780)
     assert records["SAP-essen-R1"]["pdf_hash"] == hashlib.sha256(b"essen.csv:row_1").hexdigest()
+
+
+def test_whole_files_decide(spark, tmp_path):
+    """The first row and the first lines mislead: only all rows tell delimiter and number format."""
+    (tmp_path / "late.csv").write_text(
+        "Werk;Zeitraum;Energieart;Verbrauch;Einheit;Kosten\nA, B, C, D, E, F, G;2024-01;Strom;;kWh;\n"
+        + "".join(f"A;2024-0{i};Strom;{478800 + i}.50;kWh;1.5\n" for i in range(1, 9)))
+    lines = read_lines(spark, str(tmp_path))
+    voted = profile.file_profile(lines).first()
+    assert (voted["delimiter"], voted["number_format"], voted["has_header"]) == (";", "english", True)
+    sampled = profile.file_profile(lines, sample=True).first()
+    assert (sampled["delimiter"], sampled["number_format"]) == (";", "german")
+    amounts = {r["line_items"][0]["consumption_kwh"] for r in Export(lines).documents().collect()}
+    assert amounts == {None} | {478800.5 + i for i in range(1, 9)}

@@ -6,12 +6,14 @@ are candidates. A candidate pair is estimated (corrected for chance collisions o
 full sets. Texts with one set are one class; only classes meet.
 
 In a band's bucket not all pairs are made. Each member first meets the bucket's hub, the member that shares buckets with
-the most others. Members that this leaves outside the hub's component then meet the members of other components. So each
-candidate pair is verified or already inside one component, and components come out as if all had been verified.
+the most others. Members that this leaves outside their hub's component then meet, in tasks of bounded size, all members
+that share a bucket with that hub: the sizes of all intersections are counted inside the task, and links alone leave it.
+So each candidate pair is verified or already inside one component, and components come out as if all had been verified.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ghgspark.llm.common import BYTE_VALUES, blocks, mix, powers, staged, utf8
+from ghgspark.llm.common import BYTE_VALUES, blocks, mix, powers, ragged, staged, utf8
 
 REGISTERS, MANTISSA, BAND = 128, 10, 4
 
@@ -142,6 +144,97 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "u long, v long")
 
 
+def common(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int, columns: int,
+           at_once: int = 1 << 22) -> np.ndarray:
+    """Sizes of the intersections of all left and right sets, both given as (set, value) with distinct pairs."""
+    out = np.zeros(rows * columns, np.int64)
+    order_l, order_r = np.argsort(left[1], kind="stable"), np.argsort(right[1], kind="stable")
+    (sets_l, values_l), (sets_r, values_r) = ((x[0][o], x[1][o]) for x, o in ((left, order_l), (right, order_r)))
+    low, high = np.searchsorted(values_r, values_l, "left"), np.searchsorted(values_r, values_l, "right")
+    met = np.cumsum(high - low)
+    start = 0
+    while start < len(values_l):
+        before = met[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(met, before + at_once, "right")))
+        n = (high - low)[start:end]
+        pairs = np.repeat(sets_l[start:end] * columns, n) + sets_r[ragged(low[start:end], n)]
+        out += np.bincount(pairs, minlength=rows * columns)
+        start = end
+    return out.reshape(rows, columns)
+
+
+def outside_links(pairs: DataFrame, placed: DataFrame, classes: DataFrame, sources: DataFrame, width: int, percent: int,
+                  outside_size: int = 1 << 18, member_size: int = 1 << 20) -> DataFrame:
+    """u, v: a link to every component that a text outside its hub's component reaches among the hub's neighbours.
+
+    ``pairs`` (a, a_key, b, b_key) names texts and hubs, ``placed`` (id, component) the components so far. A hub's
+    outside texts and its neighbours are dealt into blocks of about so many shingles; every block of the ones meets every
+    block of the others.
+    """
+    sizes = classes.select("id", "key", F.col("n_shingles").alias("n"))
+    hub = pairs.selectExpr("b as hub", "b_key as hub_key", "a as id", "a_key as key")
+    known = hub.unionByName(hub.selectExpr("hub", "hub_key", "hub as id", "hub_key as key").distinct())
+    rows = (
+        known.join(sizes, ["id", "key"]).join(placed, "id", "left")
+        .join(placed.selectExpr("id as hub", "component as hub_component"), "hub", "left")
+        .selectExpr("hub", "hub_key", "id", "key", "n", "coalesce(component, id) as component",
+                    "coalesce(component, id) <> coalesce(hub_component, hub) as outside")
+    )
+    # Hubs with something outside, beside a pair that has met already.
+    groups = rows.groupBy("hub", "hub_key").agg(
+        F.sum("n").alias("total"), F.sum(F.when(F.col("outside"), F.col("n"))).alias("out"), F.count("*").alias("members"),
+    ).where("out > 0 and members > 2").selectExpr(
+        "hub", "hub_key", f"int(ceil(out / {outside_size})) as outs", f"int(ceil(total / {member_size})) as parts")
+    own = "int(pmod(xxhash64(id, key), {}))"
+    places = (f"concat(transform(sequence(0, outs - 1), i -> struct(i as i, {own.format('parts')} as j, "
+              f"if(outside and i = {own.format('outs')}, 3, 1) as role)), "
+              f"if(outside, transform(filter(sequence(0, parts - 1), j -> j <> {own.format('parts')}), "
+              f"j -> struct({own.format('outs')} as i, j as j, 2 as role)), array()))")
+    dealt = staged(rows.join(groups, ["hub", "hub_key"]).select(
+        "hub", "hub_key", "id", "key", "n", "component", F.explode(F.expr(places)).alias("to")).selectExpr(
+        "xxhash64(hub, hub_key, to.i, to.j) as meeting", "id", "key", "n", "component", "to.role as role"), "meetings")
+    tasks = max(1, math.ceil((dealt.agg(F.sum("n")).first()[0] or 0) / member_size))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("meeting", "ascending"), ("id", "ascending")])
+        meeting, ids, component, role = (table.column(c).to_numpy() for c in ("meeting", "id", "component", "role"))
+        data, offsets = utf8(table.column("text"))
+        sets = [(low + t, v) for low, high in blocks(offsets, 1 << 20)
+                for t, v in [shingles(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], width)]]
+        owner, value = (np.concatenate(x) for x in zip(*sets))
+        counts = np.bincount(owner, minlength=len(ids))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        found = [np.zeros((2, 0), np.int64)]
+        cuts = np.flatnonzero(np.r_[True, meeting[1:] != meeting[:-1], True])
+        for low, high in zip(cuts, cuts[1:]):
+            rows_of = [low + np.flatnonzero(role[low:high] & bit) for bit in (2, 1)]
+            if not all(map(len, rows_of)):
+                continue
+            number = [np.full(high - low, -1) for _ in rows_of]
+            pieces = []
+            for k, own_rows in enumerate(rows_of):
+                number[k][own_rows - low] = np.arange(len(own_rows))
+                at = ragged(ends[own_rows], counts[own_rows])
+                pieces.append((number[k][owner[at] - low], value[at]))
+            both = common(*pieces, len(rows_of[0]), len(rows_of[1]))
+            union = counts[rows_of[0]][:, None] + counts[rows_of[1]][None, :] - both
+            linked = (100 * both >= percent * union) & (component[rows_of[0]][:, None] != component[rows_of[1]][None, :])
+            x, y = np.nonzero(linked)
+            if len(x):
+                x, y = rows_of[0][x], rows_of[1][y]
+                _, once = np.unique(np.stack([ids[x], component[y]]), axis=1, return_index=True)
+                found.append(np.stack([ids[x[once]], ids[y[once]]]))
+        u, v = np.concatenate(found, axis=1)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    texts = sources.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "text")
+    return (
+        dealt.join(texts, ["id", "key"]).select(
+            F.pmod("meeting", F.lit(tasks)).alias("part"), "meeting", "id", "component", "role", "text")
+        .groupBy("part").applyInArrow(meet, "u long, v long")
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node that links reach) of every linked node.
 
@@ -208,24 +301,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             f"e.j >= {percent / 100} - 5 * sqrt({percent / 100 * (1 - percent / 100)} / e.used)")
         return verified(estimated, sources, width, percent)
 
-    to_hub = drawn.join(hubs, "band").where("id <> hub.id or key <> hub.key").selectExpr(
-        "id as a", "key as a_key", "hub.id as b", "hub.key as b_key").distinct()
+    to_hub = staged(drawn.join(hubs, "band").where("id <> hub.id or key <> hub.key").selectExpr(
+        "id as a", "key as a_key", "hub.id as b", "hub.key as b_key").distinct(), "pairs")
     links = staged(check(to_hub), "checked")
-    first = staged(components(links), "components")
-
-    placed = drawn.join(first.selectExpr("node as id", "component"), "id", "left").selectExpr(
-        "band", "id", "key", "coalesce(component, id) as component")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    main = mixed.join(hubs, "band").join(first.selectExpr("node as hub_id", "component as hub_component"),
-                                         F.col("hub.id") == F.col("hub_id"), "left").selectExpr(
-        "band", "coalesce(hub_component, hub.id) as main")
-    open_ = staged(placed.join(main, "band").join(classes.selectExpr("id", "key", "n_shingles as n"), ["id", "key"]), "open")
-    # Members beside the hub's component against members of other components, in sizes that can reach the threshold.
-    crossed = open_.where("component <> main").alias("x").join(open_.alias("y"), F.expr(
-        "x.band = y.band and x.component <> y.component and (y.component = y.main or x.id < y.id) and "
-        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")).selectExpr(
-        "x.id as a", "x.key as a_key", "y.id as b", "y.key as b_key").distinct()
-    more = check(staged(crossed, "crossed"))
+    first = staged(components(links), "components").selectExpr("node as id", "component")
+    more = staged(outside_links(to_hub, first, classes, sources, width, percent), "more")
     found = components(links.unionByName(more).unionByName(same_id))
     return described.join(found, F.col("doc_id") == F.col("node"), "left").selectExpr(
         "doc_id", "n_shingles", "coalesce(component, doc_id) as component_id",

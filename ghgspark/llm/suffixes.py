@@ -18,9 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ghgspark.llm.common import BASE, BYTE_VALUES, blocks, mix, powers, ragged, staged, utf8
 
@@ -28,7 +30,8 @@ GRAM = 20
 NOBODY = (1 << 63) - 1  # in place of a null id: not smaller than any other
 INVERSE = pow(BASE, -1, 1 << 64)
 
-ENTRY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("count", "u1")])
+#: A context on its way: 32 bits of the picked substring's hash beside the part's number, and 48 bits of its own.
+ENTRY = np.dtype([("gram", "<u4"), ("context", "<u4"), ("more", "<u2"), ("doc", "<u2"), ("start", "<u4"), ("count", "u1")])
 MARK = np.dtype([("doc", "<i8"), ("key", "<i8"), ("group", "<i8"), ("start", "<u4"), ("count", "<u4")])
 
 
@@ -128,6 +131,30 @@ def repeated_windows(contexts: list[np.ndarray], counts: np.ndarray, docs: np.nd
     return owner[gone], offset[gone]
 
 
+# Packed rows --------------------------------------------------------------------------------------------------------
+
+def squeeze(entries: np.ndarray) -> bytes:
+    """Entries byte plane by byte plane: places and counts of neighbours are alike, so these planes shrink."""
+    planes = entries.view(np.uint8).reshape(len(entries), ENTRY.itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def unsqueeze(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(ENTRY.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(ENTRY).reshape(-1)
+
+
+def packed_rows(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_rows(packed: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in packed])
+
+
 # Contexts of documents ----------------------------------------------------------------------------------------------
 
 def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -202,8 +229,9 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(NOBODY).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16 << 20, group_bytes: int = 8 << 20) -> DataFrame:
-    """The documents with the repeated bytes taken out of ``text``, and n_bytes, n_removed, n_spans, kept_sha256 (of the
+def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = True, part_bytes: int = 16 << 20,
+                   group_bytes: int = 8 << 20) -> DataFrame:
+    """The documents with the repeated bytes taken out of ``text`` (without ``keep_text`` null instead), and n_bytes, n_removed, n_spans, kept_sha256 (of the
     remaining bytes). Characters that lose some of their bytes go from ``text`` as a whole. n_chars follows the text.
 
     Strings are judged on the input; matches never cross documents, nor count inside one document. A null text is empty
@@ -230,7 +258,8 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
                     made = np.empty(len(text), ENTRY)
                     part = (gram % np.uint64(parts)).astype(np.int32)
                     made["gram"] = (gram // np.uint64(parts)) & np.uint64(0xFFFFFFFF)
-                    made["context"], made["doc"], made["start"], made["count"] = context, a + text, start, count
+                    made["context"], made["more"] = context & np.uint64(0xFFFFFFFF), context >> np.uint64(48)
+                    made["doc"], made["start"], made["count"] = a + text, start, count
                     found.append((part, made))
                 part = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int32)
                 order = np.argsort(part, kind="stable")
@@ -241,7 +270,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
                 for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
                     own = made[a:b].copy()
                     used, own["doc"] = np.unique(own["doc"], return_inverse=True)
-                    packed.append(own.tobytes())
+                    packed.append(squeeze(own))
                     names.append(np.stack([ids[used], keys[used]]).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[cuts], pa.int32()), pa.array(packed, pa.binary()), pa.array(names, pa.binary())],
@@ -251,16 +280,16 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
         """Marks of one part: contexts that a smaller document has whole (group -1), and contexts to be compared."""
         all_, ids, keys = [], [], []
         for packed, names in zip(table.column("entries").to_pylist(), table.column("docs").to_pylist()):
-            own = np.frombuffer(packed, ENTRY)
+            own = unsqueeze(packed)
             pair = np.frombuffer(names, np.int64).reshape(2, -1)
             all_.append(own)
             ids.append(pair[0][own["doc"]])
             keys.append(pair[1][own["doc"]])
         own, ids, keys = np.concatenate(all_), np.concatenate(ids), np.concatenate(keys)
-        order = np.lexsort((ids, own["context"], own["gram"]))
+        order = np.lexsort((ids, own["more"], own["context"], own["gram"]))
         own, ids, keys = own[order], ids[order], keys[order]
         new_gram = np.r_[True, own["gram"][1:] != own["gram"][:-1]]
-        new_context = new_gram | np.r_[True, own["context"][1:] != own["context"][:-1]]
+        new_context = new_gram | np.r_[True, (own["context"][1:] != own["context"][:-1]) | (own["more"][1:] != own["more"][:-1])]
         at_context, at_gram = np.flatnonzero(new_context), np.flatnonzero(new_gram)
         least = ids[at_context][np.cumsum(new_context) - 1]
         gram = np.cumsum(new_gram) - 1
@@ -278,13 +307,18 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
              .mapInArrow(entries, "part int, entries binary, docs binary")
              .groupBy("part").applyInArrow(meet, "_rr_to long, marks binary"))
 
-    def group_column(frame: DataFrame, n: int) -> DataFrame:
+    def by_group(frame: DataFrame, n: int):
+        """The rows, packed, by the group of their document."""
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 to = group_of(ids_of(b.column("doc_id").cast(pa.int64())), b.column("_rr_key").to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to)], names=[*b.schema.names, "_rr_to"])
+                order = np.argsort(to, kind="stable")
+                b, to = b.take(pa.array(order)), to[order]
+                cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+                rows = [packed_rows(b.slice(x, y - x)) for x, y in zip(cuts, np.r_[cuts[1:], len(to)])]
+                yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int64()), pa.array(rows, pa.binary())], names=["_rr_to", "rows"])
 
-        return frame.mapInArrow(add, T.StructType([*frame.schema.fields, T.StructField("_rr_to", T.LongType())]))
+        return frame.mapInArrow(add, "_rr_to long, rows binary").groupBy("_rr_to")
 
     digest = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(
@@ -295,7 +329,9 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
         """Apply a group's marks to its documents. Documents with contexts still to compare wait, unless it is the last
         step: their text stays, with what is gone so far."""
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            left = left.drop_columns(["_rr_to"])
+            if not left.num_rows:
+                return pa.table({f.name: pa.array([], f.type) for f in to_arrow_schema(schema)})
+            left = unpacked_rows(left.column("rows").to_pylist())
             ids, keys = ids_of(left.column("doc_id").cast(pa.int64()).combine_chunks()), left.column("_rr_key").to_numpy()
             data, offsets = utf8(left.column("text"))
             found = np.concatenate([np.zeros(0, MARK), *(np.frombuffer(m, MARK) for m in right.column("marks").to_pylist())])
@@ -335,6 +371,8 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
                 changed = np.array([bool(f[2]) for f in figures], bool)
                 sizes = pa.array([len(t) if t is not None else 0 for t in texts], left.schema.field("n_chars").type)
                 out["n_chars"] = pc.if_else(pa.array(changed), sizes, left.column("n_chars").combine_chunks())
+            if not keep_text:
+                texts = [text if wait is not None else None for text, wait in zip(texts, asked_)]
             out["text"] = pa.array(texts, left.schema.field("text").type)
             for (name, kind), values in zip(digest, zip(*figures) if figures else [[]] * 4):
                 out[name] = pa.array(values, kind)
@@ -343,7 +381,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
 
         return run
 
-    step = staged(group_column(rows, groups).groupBy("_rr_to").cogroup(marks.groupBy("_rr_to")).applyInArrow(settle(False), schema), "settled")
+    step = staged(by_group(rows, groups).cogroup(marks.groupBy("_rr_to")).applyInArrow(settle(False), schema), "settled")
     waiting = step.where("_rr_asked is not null")
     asked = waiting.agg(F.sum(F.length("_rr_asked"))).first()[0] or 0
     result = step.where("_rr_asked is null").select(*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -388,5 +426,5 @@ def remove_repeats(documents: DataFrame, length: int = 50, part_bytes: int = 16
     found = (waiting.select("text", "_rr_asked").mapInArrow(fetch, "part long, marks binary, texts binary")
              .groupBy("part").applyInArrow(compare, "_rr_to long, marks binary"))
     rest = waiting.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "_rr_asked")
-    done = group_column(rest, later).groupBy("_rr_to").cogroup(found.groupBy("_rr_to")).applyInArrow(settle(True), schema)
+    done = by_group(rest, later).cogroup(found.groupBy("_rr_to")).applyInArrow(settle(True), schema)
     return result.unionByName(done.select(result.columns))

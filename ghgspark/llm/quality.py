@@ -74,7 +74,7 @@ class Model:
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 25, batch: int = 64,
         rate: float = 0.003, decay: float = 1e-3, seed: int = 11) -> Model:
-    """Adam on the log-loss. Sizes and decay were chosen on a split of the rows that are not held out. With one class
+    """Adam on the log-loss. Sizes and decay were compared on labelled rows (see README). With one class
     alone, or none, every score is the smoothed share of label 1."""
     if len(bags) < 2 or labels.min() == labels.max():
         prior = (float(labels.sum()) + 1) / (len(labels) + 2)

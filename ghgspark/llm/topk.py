@@ -81,13 +81,17 @@ def matrix(column: pa.Array, scale: float) -> np.ndarray:
     return np.floor(scale * values.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, k: int):
-    """A task body that finds, per query of the block, its partition's k best rows that can be among all rows' k best."""
+def search_block(ids: np.ndarray, vectors: np.ndarray, k: int, stored_ids: np.ndarray, stored: np.ndarray):
+    """A task body that finds, per query of the block, its partition's k best rows that can be among all rows' k best.
+
+    ``stored_ids`` and ``stored`` are any of the searched rows: a query's k-th best score among them, its own id left out,
+    is a floor for every partition.
+    """
     levels = [statistics(vectors, s) for s in LEVELS]
-    scores = vectors @ vectors.T
-    np.fill_diagonal(scores, -np.inf)
-    # The block's own rows are candidates too: their k-th best score is a floor for every partition.
-    floor = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(ids), -np.inf)
+    floor = np.full(len(ids), -np.inf)
+    if len(stored_ids) >= k:
+        scores = np.where(ids[:, None] == stored_ids[None, :], -np.inf, vectors @ stored.T)
+        floor = np.partition(scores, -k, axis=1)[:, -k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(floor, k)
@@ -137,9 +141,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     asked = staged(gapless(asked.withColumn("width", F.size("embedding")), ["width"], ["vec_id"], "number"), "queries")
     found = []
     for width, n in sorted((r["width"], r["count"]) for r in asked.groupBy("width").count().collect()):
+        some = rows.where(f"width = {width}").limit(block).toPandas()
+        if not len(some):
+            continue
+        stored_ids, stored = some["vec_id"].to_numpy(np.int64), np.vstack(some["embedding"].to_numpy())
         for low in range(0, n, block):
             part = asked.where(f"width = {width} and number >= {low} and number < {low + block}").orderBy("number").toPandas()
-            run = search_block(part["vec_id"].to_numpy(np.int64), np.vstack(part["embedding"].to_numpy()), k)
+            run = search_block(part["vec_id"].to_numpy(np.int64), np.vstack(part["embedding"].to_numpy()), k,
+                               stored_ids, stored)
             found.append(rows.where(f"width = {width}").select("vec_id", "embedding")
                          .mapInArrow(run, "query_id long, vec_id long, score long"))
     if not found:

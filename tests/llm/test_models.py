@@ -85,6 +85,22 @@ def test_search_query_and_fewer_rows_than_k(spark):
     assert [tuple(r) for r in topk.top_k(frame, frame.where("vec_id = 0")).collect()] == [(0, 1, 1, 8192), (0, 2, 2, 8192)]
 
 
+def test_queries_that_are_not_stored(spark):
+    draw = np.random.default_rng(3)
+    stored = [(i, [float(x) for x in draw.integers(-3, 4, 6)]) for i in range(60)]
+    asked = [(1000 + i, [float(x) for x in 50 * draw.integers(-3, 4, 6)]) for i in range(40)]  # closer to each other than to any stored row
+    kinds = "vec_id long, embedding array<float>"
+    got = topk.top_k(spark.createDataFrame(stored, kinds), spark.createDataFrame(asked, kinds), 5, block=16).collect()
+    wanted = []
+    for q, x in asked:
+        scores = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(x, y)), i) for i, y in stored)[:5]
+        wanted += [(q, rank, i, -score) for rank, (score, i) in enumerate(scores, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(wanted)
+    part = spark.createDataFrame(stored, kinds).where("vec_id % 2 = 1")  # the queries are filtered apart from the stored rows
+    both = topk.top_k(part, spark.createDataFrame(stored, kinds).where("vec_id % 2 = 0"), 5).groupBy("query_id").count().collect()
+    assert len(both) == 30 and {r["count"] for r in both} == {5}
+
+
 # Shared and whole ---------------------------------------------------------------------------------------------------
 
 def test_gapless_numbers_of_a_hot_key(spark):

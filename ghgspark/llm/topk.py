@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ghgspark.llm.common import gapless, staged
+from ghgspark.session import scratch_path
 
 LEVELS = (1, 4, 16)
 
@@ -126,8 +127,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     counts. Null ids, null vectors and vectors with null or non-finite components take no part; vectors of another
     width are no candidates, an empty vector has no width. An empty table gives no rows.
 
-    Queries go through in blocks of ``block`` rows (a size bound for what reaches the driver and each task), every block
-    against all rows; a task returns at most k rows per query.
+    Queries go through in blocks of ``block`` rows, every block against all rows; a task returns at most k rows per query.
+    A block's result is written before the next block is read, so the driver holds one block (and as many stored rows),
+    and no plan has more than one, however many queries there are.
     """
     def usable(frame: DataFrame) -> DataFrame:
         return frame.where(
@@ -139,23 +141,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     rows = staged(usable(vectors).withColumn("width", F.size("embedding")), "vectors")
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = staged(gapless(asked.withColumn("width", F.size("embedding")), ["width"], ["vec_id"], "number"), "queries")
-    found = []
+    spark = vectors.sparkSession
+    found, kinds = scratch_path(spark, "top-k"), "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], kinds).write.parquet(found)
     for width, n in sorted((r["width"], r["count"]) for r in asked.groupBy("width").count().collect()):
-        some = rows.where(f"width = {width}").limit(block).toPandas()
+        stored = rows.where(f"width = {width}").select("vec_id", "embedding")
+        some = stored.limit(block).toPandas()
         if not len(some):
             continue
-        stored_ids, stored = some["vec_id"].to_numpy(np.int64), np.vstack(some["embedding"].to_numpy())
+        some_ids, some_vectors = some["vec_id"].to_numpy(np.int64), np.vstack(some["embedding"].to_numpy())
         for low in range(0, n, block):
             part = asked.where(f"width = {width} and number >= {low} and number < {low + block}").orderBy("number").toPandas()
             run = search_block(part["vec_id"].to_numpy(np.int64), np.vstack(part["embedding"].to_numpy()), k,
-                               stored_ids, stored)
-            found.append(rows.where(f"width = {width}").select("vec_id", "embedding")
-                         .mapInArrow(run, "query_id long, vec_id long, score long"))
-    if not found:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
-    return merged.selectExpr(
-        "query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score"
-    ).where(f"rank <= {k}")
+                               some_ids, some_vectors)
+            stored.mapInArrow(run, "query_id long, vec_id long, score long").selectExpr(
+                "query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score"
+            ).where(f"rank <= {k}").write.mode("append").parquet(found)
+    return spark.read.schema(kinds).parquet(found)

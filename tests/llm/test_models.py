@@ -1,6 +1,7 @@
 """Passage quality, exact search and the pipeline."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ import corpus_pipeline
 from ghgspark.llm import quality, topk
 from ghgspark.llm.common import gapless
 from ghgspark.llm.queries import LLM_QUERIES, op5_passage_quality, op9_exact_top_k
+from ghgspark.session import scratch_root
 from test_sets import plain_components, plain_removal
 
 SF = "/root/testdata/sf0.01"
@@ -101,6 +103,23 @@ def test_queries_that_are_not_stored(spark):
     assert len(both) == 30 and {r["count"] for r in both} == {5}
 
 
+def test_one_block_of_queries_at_a_time(spark, monkeypatch):
+    """No block is read before the result of the one before is written, and the result's plan does not grow with them."""
+    steps, search = [], topk.search_block
+
+    def noted(ids, *rest):
+        steps.append(sum(len(p.read_bytes()) for p in folder.glob("top-k-*/part-*")))
+        return search(ids, *rest)
+
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<float>")
+    folder = Path(scratch_root(spark))
+    monkeypatch.setattr(topk, "search_block", noted)
+    got = topk.top_k(frame, frame, 3, block=10)
+    assert len(steps) == 4 and steps == sorted(set(steps))
+    plan = got._jdf.queryExecution().toString()
+    assert "Union" not in plan and "MapInArrow" not in plan and got.count() == 40 * 3
+
+
 # Shared and whole ---------------------------------------------------------------------------------------------------
 
 def test_gapless_numbers_of_a_hot_key(spark):

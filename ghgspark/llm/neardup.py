@@ -144,32 +144,46 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "u long, v long")
 
 
-def common(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int, columns: int,
-           at_once: int = 1 << 22) -> np.ndarray:
-    """Sizes of the intersections of all left and right sets, both given as (set, value) with distinct pairs."""
-    out = np.zeros(rows * columns, np.int64)
-    order_l, order_r = np.argsort(left[1], kind="stable"), np.argsort(right[1], kind="stable")
-    (sets_l, values_l), (sets_r, values_r) = ((x[0][o], x[1][o]) for x, o in ((left, order_l), (right, order_r)))
-    low, high = np.searchsorted(values_r, values_l, "left"), np.searchsorted(values_r, values_l, "right")
-    met = np.cumsum(high - low)
-    start = 0
-    while start < len(values_l):
-        before = met[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(met, before + at_once, "right")))
-        n = (high - low)[start:end]
-        pairs = np.repeat(sets_l[start:end] * columns, n) + sets_r[ragged(low[start:end], n)]
-        out += np.bincount(pairs, minlength=rows * columns)
-        start = end
-    return out.reshape(rows, columns)
+def close(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: np.ndarray, columns: np.ndarray,
+          percent: int, at_once: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left set, right set) with 100 |intersection| >= percent |union|, of all left and right sets, both given as
+    (set, value) with distinct pairs; ``rows`` and ``columns`` are the sizes of the sets.
+
+    Left sets go through in chunks, so that no array has many more than ``at_once`` cells, or one row of them.
+    """
+    order = np.argsort(right[1], kind="stable")
+    sets_r, values_r = right[0][order], right[1][order]
+    order = np.argsort(left[0], kind="stable")
+    sets_l, values_l = left[0][order], left[1][order]
+    step = max(1, at_once // max(1, len(columns)))
+    for first in range(0, len(rows), step):
+        sizes = rows[first:first + step]
+        cells = len(sizes) * len(columns)
+        own = slice(*np.searchsorted(sets_l, [first, first + len(sizes)]))
+        low, high = (np.searchsorted(values_r, values_l[own], side) for side in ("left", "right"))
+        n = high - low
+        met = np.cumsum(n)
+        both, start = np.zeros(cells, np.int64), 0
+        while start < len(n):
+            before = met[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(met, before + at_once, "right")))
+            some = n[start:end]
+            pairs = np.repeat((sets_l[own][start:end] - first) * len(columns), some) + sets_r[ragged(low[start:end], some)]
+            both += np.bincount(pairs, minlength=cells)
+            start = end
+        both = both.reshape(len(sizes), len(columns))
+        x, y = np.nonzero(100 * both >= percent * (sizes[:, None] + columns[None, :] - both))
+        yield x + first, y
 
 
 def outside_links(pairs: DataFrame, placed: DataFrame, classes: DataFrame, sources: DataFrame, width: int, percent: int,
-                  outside_size: int = 1 << 18, member_size: int = 1 << 20) -> DataFrame:
+                  outside_size: int = 1 << 18, member_size: int = 1 << 20,
+                  outside_texts: int = 1 << 13, member_texts: int = 1 << 15) -> DataFrame:
     """u, v: a link to every component that a text outside its hub's component reaches among the hub's neighbours.
 
     ``pairs`` (a, a_key, b, b_key) names texts and hubs, ``placed`` (id, component) the components so far. A hub's
-    outside texts and its neighbours are dealt into blocks of about so many shingles; every block of the ones meets every
-    block of the others.
+    outside texts and its neighbours are dealt into blocks of about so many shingles and texts at most; every block of the
+    ones meets every block of the others.
     """
     sizes = classes.select("id", "key", F.col("n_shingles").alias("n"))
     hub = pairs.selectExpr("b as hub", "b_key as hub_key", "a as id", "a_key as key")
@@ -183,8 +197,10 @@ def outside_links(pairs: DataFrame, placed: DataFrame, classes: DataFrame, sourc
     # Hubs with something outside, beside a pair that has met already.
     groups = rows.groupBy("hub", "hub_key").agg(
         F.sum("n").alias("total"), F.sum(F.when(F.col("outside"), F.col("n"))).alias("out"), F.count("*").alias("members"),
+        F.count_if("outside").alias("outsiders"),
     ).where("out > 0 and members > 2").selectExpr(
-        "hub", "hub_key", f"int(ceil(out / {outside_size})) as outs", f"int(ceil(total / {member_size})) as parts")
+        "hub", "hub_key", f"int(ceil(greatest(out / {outside_size}, outsiders / {outside_texts}))) as outs",
+        f"int(ceil(greatest(total / {member_size}, members / {member_texts}))) as parts")
     own = "int(pmod(xxhash64(id, key), {}))"
     places = (f"concat(transform(sequence(0, outs - 1), i -> struct(i as i, {own.format('parts')} as j, "
               f"if(outside and i = {own.format('outs')}, 3, 1) as role)), "
@@ -193,7 +209,8 @@ def outside_links(pairs: DataFrame, placed: DataFrame, classes: DataFrame, sourc
     dealt = staged(rows.join(groups, ["hub", "hub_key"]).select(
         "hub", "hub_key", "id", "key", "n", "component", F.explode(F.expr(places)).alias("to")).selectExpr(
         "xxhash64(hub, hub_key, to.i, to.j) as meeting", "id", "key", "n", "component", "to.role as role"), "meetings")
-    tasks = max(1, math.ceil((dealt.agg(F.sum("n")).first()[0] or 0) / member_size))
+    size, dealt_texts = dealt.agg(F.sum("n"), F.count("*")).first()
+    tasks = max(1, math.ceil(max((size or 0) / member_size, dealt_texts / member_texts)))
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("meeting", "ascending"), ("id", "ascending")])
@@ -216,14 +233,13 @@ def outside_links(pairs: DataFrame, placed: DataFrame, classes: DataFrame, sourc
                 number[k][own_rows - low] = np.arange(len(own_rows))
                 at = ragged(ends[own_rows], counts[own_rows])
                 pieces.append((number[k][owner[at] - low], value[at]))
-            both = common(*pieces, len(rows_of[0]), len(rows_of[1]))
-            union = counts[rows_of[0]][:, None] + counts[rows_of[1]][None, :] - both
-            linked = (100 * both >= percent * union) & (component[rows_of[0]][:, None] != component[rows_of[1]][None, :])
-            x, y = np.nonzero(linked)
-            if len(x):
+            for x, y in close(*pieces, *(counts[r] for r in rows_of), percent):
                 x, y = rows_of[0][x], rows_of[1][y]
-                _, once = np.unique(np.stack([ids[x], component[y]]), axis=1, return_index=True)
-                found.append(np.stack([ids[x[once]], ids[y[once]]]))
+                apart = component[x] != component[y]
+                x, y = x[apart], y[apart]
+                if len(x):
+                    _, once = np.unique(np.stack([ids[x], component[y]]), axis=1, return_index=True)
+                    found.append(np.stack([ids[x[once]], ids[y[once]]]))
         u, v = np.concatenate(found, axis=1)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 

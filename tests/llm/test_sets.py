@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -151,6 +152,47 @@ def test_large_group_of_near_copies(spark):
     assert ordered(neardup.near_duplicates(frame, 2).collect()) == plain_components(docs, 2, 80)
 
 
+def test_many_short_texts_meet_in_bounded_memory():
+    n = 6000  # short sets that all share one value: 36 million cells
+    sets = np.repeat(np.arange(n), 3)
+    values = np.stack([np.zeros(n, np.int64), 1 + np.arange(n) // 2, 10**6 + np.arange(n) // 2 * (np.arange(n) % 3 > 0)], axis=1).reshape(-1)
+    sizes = np.full(n, 3)
+    tracemalloc.start()
+    found = [np.stack(pair) for pair in neardup.close((sets, values), (sets, values), sizes, sizes, 80, 1 << 20)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own = {}
+    for i, row in enumerate(values.reshape(n, 3).tolist()):
+        own.setdefault(frozenset(row), []).append(i)
+    wanted = sorted((i, j) for same in own.values() for i in same for j in same)
+    assert sorted(map(tuple, np.concatenate(found, axis=1).T.tolist())) == wanted
+    assert peak < 64 << 20  # one dense matrix of all cells would be 288 MB
+
+
+def test_blocks_of_short_texts_are_bounded(spark, monkeypatch):
+    """Texts that share two words with a hub and are linked with other texts, in meetings of few texts."""
+    draw = random.Random(6)
+    docs = []
+    for i in range(60):
+        own = ["the", "word"] + [f"w{draw.randrange(10**6)}" for _ in range(draw.randint(1, 9))]
+        docs += [" ".join(own), " ".join([*own, "more"])]
+    docs = list(enumerate(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept, most = neardup.staged, []
+
+    def noted(made, label):
+        out = kept(made, label)
+        if label == "meetings":
+            at = out.groupBy("meeting").agg(F.count_if(F.expr("role in (2, 3)")).alias("a"), F.count_if(F.expr("role in (1, 3)")).alias("b"))
+            most.append(tuple(at.agg(F.max("a"), F.max("b"), F.count("*")).first()))
+        return out
+
+    monkeypatch.setattr(neardup, "staged", noted)
+    monkeypatch.setattr(neardup.outside_links, "__defaults__", (1 << 18, 1 << 20, 8, 16))
+    assert ordered(neardup.near_duplicates(frame, 2).collect()) == plain_components(docs, 2, 80)
+    assert most and most[0][2] > 1 and most[0][0] <= 24 and most[0][1] <= 40
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (200, 150), (150, 160)], "u long, v long")
     got = {r["node"]: r["component"] for r in neardup.components(links).collect()}

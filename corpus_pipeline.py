@@ -7,6 +7,7 @@ the shared scratch folder and read again as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ghgspark.llm.common import read_table, staged
 from ghgspark.llm.neardup import near_duplicates
@@ -28,13 +29,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity 0.8) stays: its smallest doc_id.
+    """One row of each component of near copies (five-word shingles, similarity 0.8) stays: its smallest doc_id's.
 
-    Of rows that repeat a kept doc_id the one with the smallest text stays; rows without an id all stay.
+    Every (doc_id, text) takes part by itself, so rows with one doc_id and other texts stay if they are no near copies; of
+    rows that repeat both one stays. Rows without an id all stay.
     """
-    kept = near_duplicates(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").selectExpr(
-        "*", "row_number() over (partition by doc_id order by text) as _near_copy").where("_near_copy = 1")
+    keyed = docs.where("doc_id is not null").withColumn("_near_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    found = near_duplicates(keyed.select(F.col("_near_key").alias("doc_id"), "text")).selectExpr(
+        "doc_id as _near_key", "component_id")
+    kept = keyed.select("_near_key", "doc_id").distinct().join(found, "_near_key").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "_near_key")).alias("first")).selectExpr("first._near_key as _near_key")
+    named = keyed.join(kept, "_near_key", "left_semi").selectExpr(
+        "*", "row_number() over (partition by _near_key order by text) as _near_copy").where("_near_copy = 1")
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -163,5 +163,13 @@ def test_pipeline_of_messy_documents(spark, messy, nothing, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(7, None), (7, "real text of seven that nothing else is like"), (7, words), (7, words), (3, words + " 13"),
+            (9, words), (None, words), (5, "alone"), (5, "alone")]
+    got = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[6], rows[7]]))
+
+
 def test_every_query_is_named_by_its_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ghgspark.llm.bpe import encode_decode
 from ghgspark.llm.common import read_table
 from ghgspark.llm.fingerprints import edited_fingerprints
+from ghgspark.llm.hardneg import mine
+from ghgspark.llm.html import extract
+from ghgspark.llm.lexical import search
 from ghgspark.llm.licenses import scan_licenses
 from ghgspark.llm.neardup import near_duplicates
 from ghgspark.llm.packing import pack_documents
@@ -74,12 +77,74 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
     f.__name__: f for f in (op1_best_fit_packing, op2_i_match, op3_license_scan, op4_rendezvous_shards, op5_passage_quality,
                               op6_byte_bpe, op7_secret_scan, op8_hyperminhash_dedup, op9_exact_top_k,
-                              op10_suffix_dedup)
+                              op10_suffix_dedup, op11_html_extraction, op12_hard_negatives, op13_lexical_search)
 }
 LLM_ORACLES = {
+    "op12_hard_negatives": """
+        with v as (
+            select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+                   list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (
+            select a.vec_id as anchor_id, a.label as anchor_label, c.vec_id as id, c.label as label,
+                   cast(list_inner_product(a.e, c.e) as bigint) as score
+            from v a join v c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id and len(c.e) = len(a.e)),
+        p as (
+            select anchor_id, id as positive_id, score as positive_score
+            from (select *, row_number() over (partition by anchor_id order by score desc, id) as r
+                  from s where label = anchor_label)
+            where r <= 5),
+        n as (
+            select p.anchor_id, p.positive_id, s.id as negative_id, p.positive_score, s.score as negative_score,
+                   row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id) as rank
+            from p join s on s.anchor_id = p.anchor_id and s.label <> s.anchor_label
+              and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score)
+        select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+        from n where rank <= 10""",
+    "op13_lexical_search": """
+        with d as (
+            select row_number() over () as r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as t
+            from documents),
+        c as (select count(*) filter (where len(t) > 0) as big_n, sum(len(t)) as big_l from d),
+        p as (select r, doc_id, cast(len(t) as bigint) as n, unnest(t) as term from d where len(t) > 0),
+        f as (select r, any_value(doc_id) as doc_id, any_value(n) as n, term, count(*) as tf from p group by r, term),
+        w as (
+            select term, cast(floor(1000 * ln((2.0 * big_n + 2) / (2.0 * count(*) + 1))) as bigint) as w
+            from f, c group by term, big_n),
+        q as (
+            select distinct item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+            from benchmark),
+        s as (
+            select q.item_id, f.r, f.doc_id,
+                   sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * f.n * c.big_n) // c.big_l)))) as score
+            from q join w on q.term = w.term join f on f.term = q.term, c
+            where f.doc_id is not null
+            group by q.item_id, f.r, f.doc_id),
+        k as (
+            select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+            from s where score > 0)
+        select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from k where rank <= 10""",
     "op8_hyperminhash_dedup": """
         with recursive d as (
             select doc_id, list_filter(string_split_regex(

@@ -81,44 +81,50 @@ def search(documents: DataFrame, items: DataFrame, k: int = 10, docs_per_block:
     """
     postings, weights, sketch = index(documents, docs_per_block, slots)
     spark = documents.sparkSession
+    # Items are keyed by (item_id, _null) with a null id as 0 and _null set, so that every join matches it.
+    keys = ["item_id", "_null"]
     asked = (
-        items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(terms("text")).alias("term"))
+        items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(0)).alias("item_id"),
+                     F.col("item_id").isNull().alias("_null"), F.explode(terms("text")).alias("term"))
         .distinct().join(weights, "term")
         .withColumn("slot", F.expr(f"cast(pmod(xxhash64(term), {slots}) as int)"))
     )
     asked = staged(asked, "lexical-items")
     bounds = (
-        asked.join(sketch, "slot").groupBy("item_id", "block").agg(F.sum("most").alias("bound"))
+        asked.join(sketch, "slot").groupBy(*keys, "block").agg(F.sum("most").alias("bound"))
         .where("bound > 0")
     )
     bounds = staged(bounds, "lexical-bounds")
-    kinds = "item_id long, rank int, doc_id long, score long"
-    best = spark.createDataFrame([], kinds)
-    done = spark.createDataFrame([], "item_id long, block int")
+    best = spark.createDataFrame([], "item_id long, _null boolean, rank int, doc_id long, score long")
+    done = spark.createDataFrame([], "item_id long, _null boolean, block int")
     take, rounds = first_round, 0
     while True:
-        least = best.where(f"rank = {k}").select("item_id", F.col("score").alias("least"))
+        least = best.where(f"rank = {k}").select(*keys, F.col("score").alias("least"))
         left = (
-            bounds.join(done, ["item_id", "block"], "left_anti")
-            .join(least, "item_id", "left")
+            bounds.join(done, [*keys, "block"], "left_anti")
+            .join(least, keys, "left")
             .where("bound >= coalesce(least, 1)")
-            .withColumn("order", F.expr("row_number() over (partition by item_id order by bound desc, block)"))
-            .where(f"order <= {take}").select("item_id", "block")
+            .withColumn("order", F.expr("row_number() over (partition by item_id, _null order by bound desc, block)"))
+            .where(f"order <= {take}").select(*keys, "block")
         )
         left = staged(left, f"lexical-round{rounds}")
         if left.isEmpty():
             break
         scored = (
-            left.join(asked, "item_id").join(postings, ["block", "term"])
+            left.join(asked, keys).join(postings, ["block", "term"])
             .where("doc_id is not null")
-            .groupBy("item_id", "_row", "doc_id").agg(F.sum(F.col("w") * F.col("g")).alias("score"))
-            .where("score > 0").select("item_id", "doc_id", "score")
+            .groupBy(*keys, "block", "_row", "doc_id").agg(F.sum(F.col("w") * F.col("g")).alias("score"))
+            .where("score > 0")
+            # A block's own k best first, so that an item's ranking never gathers more than k rows per block.
+            .withColumn("_b", F.expr("row_number() over (partition by item_id, _null, block order by score desc, doc_id)"))
+            .where(f"_b <= {k}").select(*keys, "doc_id", "score")
         )
         best = staged(
-            best.select("item_id", "doc_id", "score").unionByName(scored)
-            .withColumn("rank", F.expr("row_number() over (partition by item_id order by score desc, doc_id)").cast("int"))
-            .where(f"rank <= {k}").select("item_id", "rank", "doc_id", "score"),
+            best.select(*keys, "doc_id", "score").unionByName(scored)
+            .withColumn("rank", F.expr(
+                "cast(row_number() over (partition by item_id, _null order by score desc, doc_id) as int)"))
+            .where(f"rank <= {k}").select(*keys, "rank", "doc_id", "score"),
             f"lexical-best{rounds}")
         done = staged(done.unionByName(left), f"lexical-done{rounds}")
-        take, rounds = take * 4, rounds + 1
-    return best
+        take, rounds = min(take * 4, 1 << 30), rounds + 1
+    return best.select(F.when(~F.col("_null"), F.col("item_id")).alias("item_id"), "rank", "doc_id", "score")

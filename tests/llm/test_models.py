@@ -172,4 +172,4 @@ def test_rows_of_one_id_with_other_texts_stay(spark):
 
 
 def test_every_query_is_named_by_its_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))

@@ -26,37 +26,38 @@ def terms(text: str) -> F.Column:
     return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
 
 
-def index(documents: DataFrame, docs_per_block: int = 1024, slots: int = 8192) -> tuple[DataFrame, DataFrame, DataFrame]:
+def index(documents: DataFrame, docs_per_block: int = 256, slots: int = 8192) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings (block, _row, doc_id, term, g), weights (term, w) and sketches (block, slot, most).
 
     Every row of ``documents`` is a document of its own (repeated rows too); rows with a null doc_id count in N, L and
     df like any other but are never returned. g is (10^9 tf) div (1000 tf + 8 m) with m = 10 + (90 n N) div L; a
     posting's impact is w * g.
+
+    Term frequencies come from the document's sorted terms (no shuffle). A block is ``docs_per_block`` (a power of two)
+    consecutive rows of one scan task, so partial aggregates of a block are nearly final before any shuffle.
     """
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), terms("text").alias("_terms")
-    ).withColumn("_row", F.monotonically_increasing_id()).withColumn("_n", F.size("_terms").cast("long"))
-    rows = staged(rows.where("_n > 0"), "lexical-rows")
-    counts = rows.agg(F.count("*").alias("N"), F.sum("_n").alias("L")).first()
-    n_docs, n_terms = int(counts["N"]), int(counts["L"] or 0)
-    blocks = max(1, -(-n_docs // docs_per_block))
+    shift = max(0, (docs_per_block - 1).bit_length())
+    sorted_terms = F.array_sort(terms("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), sorted_terms.alias("_s")).where("size(_s) > 0")
+    counted = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn(
+        "_starts", F.expr("filter(sequence(1, size(_s)), i -> i = 1 or element_at(_s, i) != element_at(_s, i - 1))")
+    ).selectExpr(
+        "_row", "doc_id", "cast(size(_s) as long) as _n",
+        "inline(transform(_starts, (p, j) -> struct(element_at(_s, p) as term, "
+        "cast(if(j + 1 < size(_starts), element_at(_starts, j + 2), size(_s) + 1) - p as long) as tf, j = 0 as _first)))")
+    counted = staged(counted, "lexical-counts")
+    totals = counted.where("_first").agg(F.count("*").alias("N"), F.sum("_n").alias("L")).first()
+    n_docs, n_terms = int(totals["N"]), int(totals["L"] or 0)
     spark = documents.sparkSession
     if not n_docs:
-        empty = spark.createDataFrame([], "block int, _row long, doc_id long, term string, g long")
+        empty = spark.createDataFrame([], "block long, _row long, doc_id long, term string, g long")
         return (empty, spark.createDataFrame([], "term string, w long"),
-                spark.createDataFrame([], "block int, slot int, most long"))
-
-    postings = (
-        rows.select("_row", "doc_id", "_n", F.explode("_terms").alias("term"))
-        .groupBy("_row", "term").agg(F.first("doc_id").alias("doc_id"), F.first("_n").alias("_n"),
-                                      F.count("*").alias("tf"))
-        .selectExpr(
-            f"cast(pmod(xxhash64(_row), {blocks}) as int) as block", "_row", "doc_id", "term",
-            f"div(1000000000 * tf, 1000 * tf + 8 * (10 + div(90 * _n * {n_docs}, {n_terms}))) as g")
-    )
-    postings = staged(postings, "lexical-postings")
+                spark.createDataFrame([], "block long, slot int, most long"))
+    postings = counted.selectExpr(
+        f"shiftright(_row, {shift}) as block", "_row", "doc_id", "term",
+        f"div(1000000000 * tf, 1000 * tf + 8 * (10 + div(90 * _n * {n_docs}, {n_terms}))) as g")
     weights = staged(
-        postings.groupBy("term").count().selectExpr(
+        counted.groupBy("term").count().selectExpr(
             "term", f"cast(floor(1000 * ln((2D * {n_docs} + 2) / (2D * count + 1))) as long) as w"),
         "lexical-weights")
     sketch = (
@@ -68,8 +69,8 @@ def index(documents: DataFrame, docs_per_block: int = 1024, slots: int = 8192) -
     return postings, weights, staged(sketch, "lexical-sketch")
 
 
-def search(documents: DataFrame, items: DataFrame, k: int = 10, docs_per_block: int = 1024, slots: int = 8192,
-           first_round: int = 2) -> DataFrame:
+def search(documents: DataFrame, items: DataFrame, k: int = 10, docs_per_block: int = 256, slots: int = 8192,
+           first_round: int = 4) -> DataFrame:
     """Each item's ``k`` highest-scoring documents with a score above 0: item_id, rank, doc_id, score.
 
     A score sums w * g over the item's distinct terms. Equal scores go by ascending doc_id; ranks are unique. Rows of
@@ -96,7 +97,7 @@ def search(documents: DataFrame, items: DataFrame, k: int = 10, docs_per_block:
     )
     bounds = staged(bounds, "lexical-bounds")
     best = spark.createDataFrame([], "item_id long, _null boolean, rank int, doc_id long, score long")
-    done = spark.createDataFrame([], "item_id long, _null boolean, block int")
+    done = spark.createDataFrame([], "item_id long, _null boolean, block long")
     take, rounds = first_round, 0
     while True:
         least = best.where(f"rank = {k}").select(*keys, F.col("score").alias("least"))

@@ -226,14 +226,16 @@ def test_search_equals_the_plain_version(spark, per_block, first_round):
     assert got == plain_search(documents, items)
 
 
-def test_sketch_bounds_every_document(spark):
+def test_postings_and_counts(spark):
     documents = random_documents(200)
     docs = spark.createDataFrame(documents, "doc_id long, text string")
-    postings, weights, sketch = lexical.index(docs, docs_per_block=16, slots=8)
-    impacts = postings.join(weights, "term").selectExpr(
-        "block", "_row", "pmod(xxhash64(term), 8) as slot", "w * g as impact").toPandas()
-    most = sketch.toPandas().set_index(["block", "slot"])["most"]
-    assert (impacts.impact <= most.loc[list(zip(impacts.block, impacts.slot))].to_numpy()).all()
+    vocabulary = spark.createDataFrame([("alpha",), ("zeta",), ("x2",)], "term string")
+    postings, n_docs, n_terms = lexical.index(docs, vocabulary, docs_per_block=16)
+    texts = [plain_terms(t) for _, t in documents]
+    assert (n_docs, n_terms) == (sum(1 for t in texts if t), sum(len(t) for t in texts))
+    got = postings.toPandas()
+    assert set(got.term) <= {"alpha", "zeta", "x2"} and len(got) == sum(len({"alpha", "zeta", "x2"} & set(t)) for t in texts)
+    assert (got.groupby("_row").block.nunique() == 1).all()
 
 
 def test_empty_tables(spark):

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ghgspark.llm.common import staged
 
 LEVELS = (1, 4, 16)
+#: Share of surviving pairs above which a chunk's exact products are one matrix product.
+DENSE = 0.125
 
 
 def summaries(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -57,19 +59,37 @@ def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def survivors(anchor_x: np.ndarray, rows_x: np.ndarray, keep) -> np.ndarray:
-    """Boolean (anchor, row) mask of pairs that ``keep(lower, upper, alive)`` lets through at every level."""
+    """Boolean (anchor, row) mask of pairs that ``keep(lower, upper, alive, columns)`` lets through at every level.
+
+    A finer level looks only at the rows still alive for some anchor of the chunk.
+    """
     alive = np.ones((len(anchor_x), len(rows_x)), bool)
     if anchor_x.shape[1] == 0:
         return alive
+    columns = np.arange(len(rows_x))
     for left, right in zip(summaries(anchor_x), summaries(rows_x)):
-        lower, upper = bounds(left, right)
-        alive &= keep(lower, upper, alive)
+        lower, upper = bounds(left, (right[0][columns], right[1][columns]))
+        alive[:, columns] &= keep(lower, upper, alive[:, columns], columns)
+        columns = columns[alive[:, columns].any(axis=0)]
+        if not len(columns):
+            break
     return alive
 
 
 def exact(anchor_x: np.ndarray, rows_x: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Exact integer inner products of the given (anchor, row) pairs."""
+    """Exact integer inner products of the given (anchor, row) pairs.
+
+    Where survivors are dense (over a fraction ``DENSE`` of the chunk) one matrix product of the chunk with the rows
+    that have a survivor is cheaper than products pair by pair; doubles hold it exactly while
+    max|a| * max|x| * width stays below 2^53, else the pairs go one by one in 64-bit integers.
+    """
     i, j = at
+    width = anchor_x.shape[1]
+    if len(i) > DENSE * len(anchor_x) * len(rows_x) and width:
+        largest = float(np.abs(anchor_x).max(initial=0)) * float(np.abs(rows_x).max(initial=0)) * width
+        if largest < 2.0 ** 53:
+            used, where = np.unique(j, return_inverse=True)
+            return (anchor_x @ rows_x[used].T)[i, where].astype(np.int64)
     out = np.zeros(len(i), np.int64)
     for low in range(0, len(i), 1 << 16):
         a, b = anchor_x[i[low:low + (1 << 16)]].astype(np.int64), rows_x[j[low:low + (1 << 16)]].astype(np.int64)
@@ -98,8 +118,9 @@ def positives_task(k: int, chunk: int):
             sl = slice(low, low + chunk)
             eligible = (a_labels[sl, None] == r_labels[None, :]) & (a_ids[sl, None] != r_ids[None, :])
 
-            def keep(lower, upper, alive, eligible=eligible):
-                return eligible & (upper >= kth(lower, eligible & alive, k)[:, None])
+            def keep(lower, upper, alive, columns, eligible=eligible):
+                allowed = eligible[:, columns]
+                return allowed & (upper >= kth(lower, allowed & alive, k)[:, None])
 
             i, j = np.nonzero(survivors(ax[sl], rx, keep))
             scores = exact(ax[sl], rx, (i, j))
@@ -130,8 +151,8 @@ def negatives_task(k: int, chunk: int):
             sl = slice(low, low + chunk)
             eligible = (a_labels[sl, None] != r_labels[None, :]) & (lo[sl, None] <= hi[sl, None])
 
-            def keep(lower, upper, alive, eligible=eligible, sl=sl):
-                reach = eligible & (upper >= lo[sl, None]) & (lower <= hi[sl, None])
+            def keep(lower, upper, alive, columns, eligible=eligible, sl=sl):
+                reach = eligible[:, columns] & (upper >= lo[sl, None]) & (lower <= hi[sl, None])
                 inside = reach & alive & (lower >= lo[sl, None]) & (upper <= hi[sl, None])
                 return reach & (upper >= kth(lower, inside, k)[:, None])
 

@@ -526,6 +526,7 @@ ORACLES["records_copy"] = ORACLES["records_csv_roundtrip"]
 ORACLES["factor_file"] = f"""WITH {_LINES}
 SELECT energy_type, CASE energy_type WHEN 'electricity' THEN 0.00038::DOUBLE WHEN 'Fernwaerme' THEN 0.00028::DOUBLE END
   AS emission_factor_value, count(*) AS lines FROM lines GROUP BY energy_type"""
+ORACLES["index_stream_replay"] = ORACLES["index_upsert"]
 ORACLES["index_reopen"] = "SELECT sha256(text) AS id, max(length(text)) AS chars FROM documents GROUP BY text"
 ORACLES["knn_with_bad_vectors"] = _knn("q.vec_id % 10 = 0 AND x.vec_id % 10 NOT IN (3, 7)")
 ORACLES["knn_empty"] = "SELECT count(*) AS hits FROM embeddings WHERE label = -1"

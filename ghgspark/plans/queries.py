@@ -453,6 +453,26 @@ def index_upsert(spark, sf):
     )
 
 
+@query
+def index_stream_replay(spark, sf):
+    """Files of index rows streamed in two micro-batches, then the first one replayed: the replay writes nothing."""
+    from ghgspark.streaming.records import index_rows_stream, upsert_batches
+
+    folder, checkpoint = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-checkpoint")
+    store = index.RecordIndex(spark, scratch_path(spark, "index"))
+    first = index.index_documents(_document_records(spark, sf, ""))
+    first.write.parquet(folder)
+    source = spark.readStream.schema(first.schema).parquet(folder)
+    index_rows_stream(source, store, checkpoint).awaitTermination()
+    index.index_documents(_document_records(spark, sf, "relabelled")).write.mode("append").parquet(folder)
+    index_rows_stream(source, store, checkpoint).awaitTermination()
+    upsert_batches(store, checkpoint)(first, 0)
+    return store.documents().select(
+        "id", F.col("metadata.filename").alias("filename"), F.col("metadata.site").alias("site"),
+        F.char_length("document").cast("bigint").alias("chars"),
+    )
+
+
 @query
 def index_status(spark, sf):
     store = _upserted(spark, sf)

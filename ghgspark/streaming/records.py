@@ -13,12 +13,12 @@ from ghgspark.operators.invoices import parse_documents
 def index_stream(documents: DataFrame, factors: DataFrame, store: RecordIndex, checkpoint: str) -> StreamingQuery:
     """Parse, enrich and index a stream of documents (``filename, file_hash, text[, tables]``).
 
-    Each micro-batch is upserted by id, so a batch replayed after a failure leaves the index as
-    it was: the file source's checkpoint and the upsert together give each document once.
+    Each micro-batch is upserted by id under the commit key (checkpoint, batch id), so a batch replayed after a
+    failure is skipped and leaves the index as it was.
     """
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        store.upsert(index_documents(build_records(parse_documents(batch), factors)))
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        store.upsert(index_documents(build_records(parse_documents(batch), factors)), commit=f"{checkpoint}#{batch_id}")
 
     return (
         documents.writeStream.foreachBatch(upsert)
@@ -26,3 +26,22 @@ def index_stream(documents: DataFrame, factors: DataFrame, store: RecordIndex, c
         .trigger(availableNow=True)
         .start()
     )
+
+
+def upsert_batches(store: RecordIndex, checkpoint: str):
+    """The foreachBatch body that upserts a stream of index rows under (checkpoint, batch id) commit keys."""
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        store.upsert(batch.select("id", "document", "embedding", "metadata"), commit=f"{checkpoint}#{batch_id}")
+
+    return upsert
+
+
+def index_rows_stream(rows: DataFrame, store: RecordIndex, checkpoint: str) -> StreamingQuery:
+    """Upsert a stream of index rows (``id, document, embedding, metadata``); replayed micro-batches are skipped."""
+    return (
+        rows.writeStream.foreachBatch(upsert_batches(store, checkpoint))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

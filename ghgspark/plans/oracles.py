@@ -528,7 +528,7 @@ SELECT energy_type, CASE energy_type WHEN 'electricity' THEN 0.00038::DOUBLE WHE
   AS emission_factor_value, count(*) AS lines FROM lines GROUP BY energy_type"""
 ORACLES["index_stream_replay"] = ORACLES["index_upsert"]
 ORACLES["index_reopen"] = "SELECT sha256(text) AS id, max(length(text)) AS chars FROM documents GROUP BY text"
-ORACLES["knn_with_bad_vectors"] = _knn("q.vec_id % 10 = 0 AND x.vec_id % 10 NOT IN (3, 7)")
+ORACLES["knn_with_bad_vectors"] = _knn("q.vec_id % 10 NOT IN (3, 7) AND x.vec_id % 10 NOT IN (3, 7)")
 ORACLES["knn_empty"] = "SELECT count(*) AS hits FROM embeddings WHERE label = -1"
 ORACLES["sources"] = f"""WITH {_hits()}
 SELECT query_id, CAST(rank AS INT) AS rank, filename, site, energy_type, round(d * d, 4) AS distance FROM metas"""

@@ -531,11 +531,11 @@ def knn_cosine(spark, sf):
 
 @query
 def knn_with_bad_vectors(spark, sf):
-    """Some stored vectors are null, some hold NaN: the others are found as before."""
+    """Some vectors are null, some hold NaN, as questions and as stored rows: the others are found as before."""
     spoilt = F.expr("CASE vec_id % 10 WHEN 3 THEN transform(embedding, (x, i) -> if(i = 5, float('nan'), x)) "
                     "WHEN 7 THEN null ELSE embedding END")
-    stored = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), spoilt.alias("embedding"))
-    return _rounded(nearest.top_k(stored, _vectors(spark, sf, "query_id").where("query_id % 10 = 0")))
+    vectors = A.table(spark, sf, "embeddings").select("vec_id", spoilt.alias("embedding"))
+    return _rounded(nearest.top_k(vectors.withColumnRenamed("vec_id", "id"), vectors.withColumnRenamed("vec_id", "query_id")))
 
 
 @query

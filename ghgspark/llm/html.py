@@ -2,9 +2,9 @@
 
 A page is cut into blocks at block-level tags. Pass one labels each block from its own features: link density (share of
 its characters inside links), length and stop-word density, with the page's boilerplate containers (menus, headers,
-footers, sidebars, forms, adverts, notices, comments; scripts and styles) as bad blocks of their own and the article
-container (``article``, ``main``) as the place of the main text. Pass two gives every ambiguous block (short ones) the
-label of its nearest decided neighbours. Good blocks, joined in page order by one line feed, are the main text.
+footers, sidebars, forms, adverts, notices, comments; scripts and styles) left out whole, and the article container
+(``article``, ``main``) as the place of the main text. Pass two gives every ambiguous block (short ones) the label of
+its nearest decided neighbours. Good blocks, joined in page order by one line feed, are the main text.
 
 Pages are independent: one task parses the pages of its partition, without any shuffle.
 """
@@ -54,7 +54,7 @@ STOPS = 0.15
 
 
 class Blocks(HTMLParser):
-    """Blocks of one page: (text, link characters, tag, inside article, boilerplate)."""
+    """Blocks of one page outside boilerplate containers: [text, link characters, tag, inside article]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -70,13 +70,9 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append([text, min(self.linked, len(text)), self.tag, self.main > 0, False])
+            self.blocks.append([text, min(self.linked, len(text)), self.tag, self.main > 0])
         self.parts, self.linked = [], 0
 
-    def mark(self) -> None:
-        if not self.blocks or not self.blocks[-1][4]:
-            self.blocks.append(["", 0, "", self.main > 0, True])
-
     def handle_starttag(self, tag, attrs):
         if tag in VOID_TAGS:
             if tag == "br":
@@ -94,8 +90,6 @@ class Blocks(HTMLParser):
             self.stack.append((tag, skips, tag in MAIN_TAGS))
             self.skip += skips
             self.main += tag in MAIN_TAGS
-            if skips:
-                self.mark()
             self.tag = tag
         elif tag == "a":
             self.links += 1
@@ -155,8 +149,8 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     blocks = parser.blocks
-    has_main = any(b[3] for b in blocks if not b[4])
-    labels = ["bad" if b[4] else label(b[0], b[1], b[2], b[3], has_main) for b in blocks]
+    has_main = any(b[3] for b in blocks)
+    labels = [label(b[0], b[1], b[2], b[3], has_main) for b in blocks]
     decided = list(labels)
     # Pass two: an ambiguous block takes the label its nearest decided neighbours agree on; a heading belongs to what
     # follows; otherwise the nearer one decides, in the same container first, and a tie keeps article text.
@@ -187,7 +181,7 @@ def main_text(html: str | None) -> str:
             gap = min(abs(n[0] - at) for n in pool)
             closest = {n[1] for n in pool if abs(n[0] - at) == gap}
             decided[at] = closest.pop() if len(closest) == 1 else ("good" if blocks[at][3] else "bad")
-    return "\n".join(b[0] for b, x in zip(blocks, decided) if x == "good" and not b[4])
+    return "\n".join(b[0] for b, x in zip(blocks, decided) if x == "good")
 
 
 def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

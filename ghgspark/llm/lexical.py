@@ -7,11 +7,13 @@ only raise it). Blocks are rescored exactly in descending order of their bound,
 remaining block's bound reaches the query's current 10th score.
 
 Counting, weights, sketches and bounds are built-in functions on Spark; the exact rescoring of a round is a scan of
-the postings in which each task scores whole documents. The driver keeps two corpus counts and a loop over rounds.
+the candidate blocks' postings in which each task scores whole documents. The driver keeps two corpus counts and a loop over rounds.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,9 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct item terms up to which they are sent to every task; beyond, joins shuffle.
 BROADCAST_TERMS = 1_000_000
+COUNTED_TYPES = "_row long, doc_id long, _n long, term string, tf long"
+COUNTED = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("_n", pa.int64()), ("term", pa.string()),
+                     ("tf", pa.int64())])
 SCORED_TYPES = "item_id long, _null boolean, _row long, doc_id long, score long"
 SCORED = pa.schema([("item_id", pa.int64()), ("_null", pa.bool_()), ("_row", pa.int64()), ("doc_id", pa.int64()),
                     ("score", pa.int64())])
@@ -37,32 +42,52 @@ def terms(text: str) -> F.Column:
     return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
 
 
+def count_terms(vocabulary: frozenset | None):
+    """A task body: per document one row carrying n (term null), then (term, tf) of its terms in ``vocabulary`` (all
+    terms if None). Documents without terms give no rows; rows keep the scan order, a document's rows consecutive."""
+    lower = str.maketrans(UPPER, LOWER)
+    find = re.compile(TERM).findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+            out_row, out_id, out_n, out_term, out_tf = [], [], [], [], []
+            for row, doc_id, text in zip(rows, ids, texts):
+                found = find(text.translate(lower)) if text else []
+                if not found:
+                    continue
+                n = len(found)
+                out_row.append(row), out_id.append(doc_id), out_n.append(n), out_term.append(None), out_tf.append(0)
+                for term, tf in Counter(found).items():
+                    if vocabulary is None or term in vocabulary:
+                        out_row.append(row), out_id.append(doc_id), out_n.append(n), out_term.append(term)
+                        out_tf.append(tf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out_row, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()),
+                 pa.array(out_term, pa.string()), pa.array(out_tf, pa.int64())], schema=COUNTED)
+    return run
+
+
 def index(documents: DataFrame, vocabulary: DataFrame, docs_per_block: int = 256) -> tuple[DataFrame, int, int]:
     """Postings of the vocabulary's terms (block, _row, doc_id, term, g), with the corpus counts N and L.
 
     Every row of ``documents`` is a document of its own (repeated rows too); rows with a null doc_id count in N, L and
     df like any other but are never returned. g is (10^9 tf) div (1000 tf + 8 m) with m = 10 + (90 n N) div L.
 
-    Term frequencies come from the document's sorted terms (no shuffle); a document's postings stay consecutive. A
-    block is ``docs_per_block`` (rounded up to a power of two) consecutive rows of one scan task.
+    Each scan task counts the terms of its documents (no shuffle) and keeps one row per document for N and L plus the
+    vocabulary's terms; the vocabulary goes to every task while it has at most ``BROADCAST_TERMS`` terms, beyond that
+    all postings are kept (the later joins with the items' terms pick theirs). A document's postings stay
+    consecutive. A block is ``docs_per_block`` (rounded up to a power of two) consecutive rows of one scan task.
     """
     shift = max(0, (docs_per_block - 1).bit_length())
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(terms("text")).alias("_s")).where("size(_s) > 0")
-    counted = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "_starts", F.expr("filter(sequence(1, size(_s)), i -> i = 1 or element_at(_s, i) != element_at(_s, i - 1))")
-    ).selectExpr(
-        "_row", "doc_id", "cast(size(_s) as long) as _n",
-        "inline(transform(_starts, (p, j) -> struct(element_at(_s, p) as term, "
-        "cast(if(j + 1 < size(_starts), element_at(_starts, j + 2), size(_s) + 1) - p as long) as tf, j = 0 as _first)))")
-    # The first posting of every document stays (it carries n); of the others only the vocabulary's terms.
-    wanted = vocabulary.select("term", F.lit(True).alias("_q"))
-    if vocabulary.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    kept = staged(counted.join(wanted, "term", "left").where("_first or _q"), "lexical-postings")
-    totals = kept.where("_first").agg(F.count("*").alias("N"), F.sum("_n").alias("L")).first()
+    small = vocabulary.count() <= BROADCAST_TERMS
+    words = frozenset(r["term"] for r in vocabulary.collect()) if small else None
+    counted = documents.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"),
+                               F.col("text").cast("string")).mapInArrow(count_terms(words), COUNTED_TYPES)
+    kept = staged(counted, "lexical-postings")
+    totals = kept.where("term is null").agg(F.count("*").alias("N"), F.sum("_n").alias("L")).first()
     n_docs, n_terms = int(totals["N"]), int(totals["L"] or 0)
-    postings = kept.where("_q").selectExpr(
+    postings = kept.where("term is not null").selectExpr(
         f"shiftright(_row, {shift}) as block", "_row", "doc_id", "term",
         f"div(1000000000 * tf, 1000 * tf + 8 * (10 + div(90 * _n * {max(1, n_docs)}, {max(1, n_terms)}))) as g")
     return postings, n_docs, n_terms
@@ -168,7 +193,9 @@ def search(documents: DataFrame, items: DataFrame, k: int = 10, docs_per_block:
         for part in range(-(-chosen // most_candidates)):
             piece = left.where(f"pmod(xxhash64(item_id, _null, block), {-(-chosen // most_candidates)}) = {part}")
             wanted = piece.toPandas().merge(asked_local, on=keys)
-            found.append(postings.mapInArrow(rescore(least, wanted), SCORED_TYPES))
+            # Only the candidate blocks' postings reach Python; whole blocks stay in scan order.
+            blocks = F.broadcast(spark.createDataFrame(wanted[["block"]].drop_duplicates(), "block long"))
+            found.append(postings.join(blocks, "block", "left_semi").mapInArrow(rescore(least, wanted), SCORED_TYPES))
         scored = found[0]
         for other in found[1:]:
             scored = scored.unionByName(other)

@@ -58,6 +58,13 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+def spread_scan(frame: DataFrame, *keys: str) -> DataFrame:
+    """A table's scan, dealt anew only where it has fewer pieces than there are cores."""
+    if frame.rdd.getNumPartitions() >= frame.sparkSession.sparkContext.defaultParallelism:
+        return frame
+    return spread(frame, *keys)
+
+
 def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer's name and nation."""
     return (
@@ -244,7 +251,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values printed on the invoice of each line item (two billed items per invoice)."""
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")
-    lines = spread(table(spark, sf_dir, "lineitem").select(*columns), "l_orderkey", "l_linenumber").join(
+    lines = spread_scan(table(spark, sf_dir, "lineitem").select(*columns), "l_orderkey", "l_linenumber").join(
         table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey")
     )
     facts = lines.join(order_headers(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))

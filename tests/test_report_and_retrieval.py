@@ -267,3 +267,25 @@ def test_record_csv_keeps_line_ends(spark, tmp_path):
     path = str(tmp_path / "r")
     sinks.write_records_csv(records(spark, dict(energy_type=odd), dict(energy_type=None)), path)
     assert sorted(str(r["energy_type"]) for r in sinks.read_records_csv(spark, path).collect()) == sorted([odd, "None"])
+
+
+def test_hits_of_user_turns_are_searched_once(spark, monkeypatch):
+    """The queries over hits read stored hits: their plans hold no search, however often they use the hits."""
+    from ghgspark.functions.embedding import hashed_terms
+    from ghgspark.plans import adapters, queries
+
+    questions = spark.createDataFrame([("1-0", "gas in Essen"), ("2-0", "power of Ulm")], "query_id string, question string")
+    rows = spark.createDataFrame([("a", "gas Essen"), ("b", "power Ulm"), ("c", "diesel")], "id string, document string")
+    stored = hashed_terms(rows, "document").selectExpr(
+        "id", "document", "embedding", "named_struct('filename', id, 'site', '', 'energy_type', 'gas', "
+        "'billing_period_from', id, 'billing_period_to', id, 'total_eur', 1D, 'consumption_kwh', 2D, "
+        "'emissions_tco2', 3D) as metadata")
+    monkeypatch.setattr(adapters, "user_questions", lambda *_: questions)
+    monkeypatch.setattr(adapters, "record_documents", lambda *_: stored)
+    for name in ("prompts", "compare_hits", "compare_text", "context_blocks", "sources", "sources_distinct"):
+        found = queries.QUERIES[name](spark, "")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "InArrow" not in plan and "applyInArrow" not in plan and "search(" not in plan, name
+        assert found.count()
+    first = {r["query_id"]: r["filename"] for r in queries.QUERIES["sources"](spark, "").where("rank = 1").collect()}
+    assert first == {"1-0": "a", "2-0": "b"}

@@ -68,8 +68,8 @@ class PretokenIds:
     """Ids of whole texts; each distinct pre-token goes through ``encode`` once while it stays in the cache.
 
     Pre-tokens are told apart by a 64-bit hash of their bytes. A direct-mapped table answers for most of them in one
-    array operation, a dictionary for the rest. The cache is emptied at ``limit`` entries, so a worker's memory does not
-    grow with the corpus.
+    array operation, a sorted array of all hashes for the rest (12 bytes an entry, a dictionary takes some 200). The cache
+    is emptied at ``limit`` entries, so a worker's memory does not grow with the corpus.
     """
 
     def __init__(self, pattern: str, encode: Callable[[list[bytes]], list], limit: int = 1_500_000, block: int = 1 << 20):
@@ -78,12 +78,12 @@ class PretokenIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.used, self.count = 0, 0
         self.ids, self.start, self.length = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.table_key, self.table_slot = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
 
-    def _add(self, keys: list[int], found: list) -> None:
+    def _add(self, found: list) -> None:
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         total, n = int(lengths.sum()), len(found)
         while self.used + total > len(self.ids):
@@ -94,7 +94,6 @@ class PretokenIds:
         self.ids[self.used:self.used + total] = np.concatenate([np.asarray(ids, np.uint32) for ids in found])
         self.start[self.count:self.count + n] = self.used + np.cumsum(lengths) - lengths
         self.length[self.count:self.count + n] = lengths
-        self.at.update(zip(keys, range(self.count, self.count + n)))
         self.used, self.count = self.used + total, self.count + n
 
     def texts(self, data: np.ndarray, offsets: np.ndarray):
@@ -112,13 +111,17 @@ class PretokenIds:
         if self.count + len(keys) > self.limit and self.count:
             self._clear()
             return self._slots(hashes, data, starts, lengths)
-        names = keys.tolist()
-        new = [i for i, key in enumerate(names) if key not in self.at]
-        if new:
-            raw, at = data.tobytes(), other[where]
-            s, n = starts[at].tolist(), lengths[at].tolist()
-            self._add([names[i] for i in new], self.encode([raw[s[i]:s[i] + n[i]] for i in new]))
-        found = np.fromiter(map(self.at.__getitem__, names), np.int32, len(names))
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        found = np.empty(len(keys), np.int32)
+        found[known] = self.slots[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw, first = data.tobytes(), other[where[new]]
+            found[new] = np.arange(self.count, self.count + len(new))
+            self._add(self.encode([raw[s:s + n] for s, n in zip(starts[first].tolist(), lengths[first].tolist())]))
+            self.keys, self.slots = np.insert(self.keys, at[new], keys[new]), np.insert(self.slots, at[new], found[new])
         self.table_key[keys & self.mask], self.table_slot[keys & self.mask] = keys, found
         slots[other] = found[inverse]
         return slots

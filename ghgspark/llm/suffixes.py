@@ -254,7 +254,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Tru
                 ids, keys = ids_of(batch.column("doc_id")), batch.column("_rr_key").to_numpy()
                 data, offsets = utf8(batch.column("text"))
                 found = []
-                for a, b in blocks(offsets, 1 << 19):
+                for a, b in blocks(offsets, 1 << 17):
                     text, start, count, gram, context = contexts_of(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], length)
                     made = np.empty(len(text), ENTRY)
                     part = (gram % np.uint64(parts)).astype(np.int32)

@@ -188,3 +188,31 @@ def test_random_strings_are_found_and_masked(spark):
 def test_secret_query_covers_its_table(spark):
     sf = "/root/testdata/sf0.001"
     assert op7_secret_scan(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_pretoken_cache_stays_small_and_right():
+    """Every distinct pre-token is kept in some tens of bytes, and ids stay right when the cache is emptied."""
+    import tracemalloc
+
+    from ghgspark.llm.pretokens import PretokenIds
+
+    text = "".join(" " + "".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(100_000)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.arange(0, len(text) + 1, 6000)
+
+    def encode(words):
+        return [list(w) for w in words]
+
+    tracemalloc.start()
+    try:
+        cache = PretokenIds(r"\S+|\s+", encode, block=1 << 16)
+        empty = tracemalloc.get_traced_memory()[0]
+        ids = np.concatenate([ids for _, ids, _ in cache.texts(data, offsets)])
+        taken = tracemalloc.get_traced_memory()[0] - empty - ids.nbytes
+    finally:
+        tracemalloc.stop()
+    assert ids.tolist() == list(text)
+    assert cache.count == 100_000 and taken < 100 * cache.count
+    small = PretokenIds(r"\S+|\s+", encode, limit=50)
+    for low in range(0, 40_000, 400):
+        part = data[low:low + 400]
+        assert [list(ids) for _, ids, _ in small.texts(part, np.array([0, 100, len(part)]))][0] == part.tolist()

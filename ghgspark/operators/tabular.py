@@ -29,6 +29,22 @@ def _cell(field: str) -> Column:
     return strip(F.coalesce(F.get("cells", F.col(f"columns.{field}")), F.lit("")))
 
 
+def _is_row() -> Column:
+    """True unless the line is blank under its file's delimiter."""
+    return reduce(
+        lambda case, d: case.when(F.col("delimiter") == d, profile.has_cell_text(F.col("value"), d)),
+        DELIMITERS, F,
+    )
+
+
+def _with_cells(rows: DataFrame) -> DataFrame:
+    return (
+        rows.withColumn("text", profile.decode_line(F.col("value"), F.col("encoding")))
+        .withColumn("cells", profile.split_cells(F.col("text"), F.col("delimiter")))
+        .withColumn("is_short", F.size("cells") < F.coalesce(F.col("min_cells"), F.lit(0)))
+    )
+
+
 def numbered_rows(lines: DataFrame, blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Data rows with their cells and 1-based ``row_number`` in the file.
 
@@ -37,21 +53,28 @@ def numbered_rows(lines: DataFrame, blocks: DataFrame, files: DataFrame) -> Data
     tasks as it has blocks and the lines are shuffled once, by (file, block).
     """
     plan = profile.block_offsets(blocks, files.where(F.col("error").isNull()))
-    is_row = reduce(
-        lambda case, d: case.when(F.col("delimiter") == d, profile.has_cell_text(F.col("value"), d)),
-        DELIMITERS, F,
-    )
     in_block = F.row_number().over(W.partitionBy("file", "block").orderBy("pos"))
-    return (
+    numbered = (
         lines.join(plan, ["file", "block"])
-        .where(is_row)
+        .where(_is_row())
         .withColumn("row_number", F.col("rows_before") + in_block - F.col("has_header").cast("int"))
         .where(F.col("row_number") > 0)
-        .withColumn("text", profile.decode_line(F.col("value"), F.col("encoding")))
-        .withColumn("cells", profile.split_cells(F.col("text"), F.col("delimiter")))
-        .withColumn("is_short", F.size("cells") < F.coalesce(F.col("min_cells"), F.lit(0)))
-        .drop("value", "text", "rows_before")
     )
+    return _with_cells(numbered).drop("value", "text", "rows_before")
+
+
+def short_rows(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``file, skipped_rows`` of the files with data rows.
+
+    Rows are counted where they are read, without numbers. A header row is never short, as its own cells tell how many a
+    row needs, so it is only left out of the count that tells whether there is data.
+    """
+    rows = lines.where(F.col("block").isNotNull()).join(
+        files.where(F.col("error").isNull()).select("file", "encoding", "delimiter", "has_header", "min_cells"), "file"
+    ).where(_is_row())
+    counted = _with_cells(rows).groupBy("file").agg(
+        F.count_if("is_short").alias("skipped_rows"), (F.count("*") - F.max(F.col("has_header").cast("int"))).alias("data"))
+    return counted.where(F.col("data") > 0).drop("data")
 
 
 def parse_rows(rows: DataFrame, strict_locale: bool = False) -> DataFrame:
@@ -151,7 +174,7 @@ class Export:
 
     def skipped_rows(self) -> DataFrame:
         """``file, skipped_rows``: data rows with too few cells."""
-        return self.rows().groupBy("file").agg(F.count_if("is_short").alias("skipped_rows"))
+        return short_rows(self.lines, self.files)
 
     def release(self) -> None:
         self.blocks.unpersist()
